@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one call of an operator's function gets at once, one text at least.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: A-Z to a-z; ASCII other than letters and digits to a space; all other bytes stay.
 WORD_TABLE = bytes(

@@ -41,7 +41,7 @@ END = b"\xff"
 #: The end of a text among the word counts; no word has a space.
 END_WORD = b" "
 #: Entries of a task's counts that are sent on before more are counted.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class ContextTree:
                     np.subtract.at(r1, up, below[2])
                 inner += log_kt(r0, r1)
                 weighted, stop, rest = np.logaddexp(own, inner) - math.log(2), 1 / (1 + np.exp(np.clip(inner - own, -700, 700))), (r1 + 0.5) / (r0 + r1 + 1)
-            self.levels.insert(0, Level(contexts, keys, (n1 + 0.5) / (n0 + n1 + 1), stop, rest))
+            self.levels.insert(0, Level(contexts, keys, *(x.astype(np.float32) for x in ((n1 + 0.5) / (n0 + n1 + 1), stop, rest))))
             below = (keys, n0, n1, weighted)
 
     def cost(self, grams: np.ndarray) -> np.ndarray:
@@ -127,14 +127,15 @@ class ContextTree:
 
 def _decisions(context: np.ndarray, byte: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the binary decisions that were met, how often they were 0, and 1."""
-    keys, ones, counts = [], [], []
-    for b in range(8):
-        keys.append((context << np.uint64(8)) | ((1 << b) | (byte >> (8 - b))).astype(np.uint64))
-        ones.append((byte >> (7 - b)) & 1)
-        counts.append(count)
-    keys, ones, counts = np.concatenate(keys), np.concatenate(ones), np.concatenate(counts).astype(np.float64)
-    unique, place = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(place, counts * (1 - ones), len(unique)), np.bincount(place, counts * ones, len(unique))
+    out = []
+    for b in range(8):  # prefixes of another length are other keys, so each is summed by itself
+        key = (context << np.uint64(8)) | ((1 << b) | (byte >> (8 - b))).astype(np.uint64)
+        unique, place = np.unique(key, return_inverse=True)
+        one = (byte >> (7 - b)) & 1
+        out.append((unique, np.bincount(place, count * (1 - one), len(unique)), np.bincount(place, count * one, len(unique))))
+    keys, zeros, ones = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(keys)
+    return keys[order], zeros[order], ones[order]
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
