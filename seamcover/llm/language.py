@@ -100,8 +100,9 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     ``sample_bytes`` bytes, so the grams that reach the driver are bounded by languages * sample_bytes.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    share = rows.groupBy("lang").agg((F.lit(1.3 * sample_docs) / F.count("*")).alias("share"), F.count("*").alias("n"))
-    near = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30) + F.when(F.col("n") < 4 * sample_docs, F.lit(1 << 30)).otherwise(0))
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.0 if r["count"] < 4 * sample_docs else 1.3 * sample_docs / r["count"])]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
     by_hash = Window.partitionBy("lang").orderBy("h", "text")
     sample = (
         near.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs)
