@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi over a trie of sorted distinct words.
 
 A text is marked as the library does it (one space put in front, each space written as U+2581) and cut into words
-where no piece can cross: before a mark that follows another character, and around a line feed unless a longer piece
-holds one. The distinct words of a block of texts that aren't known yet are sorted; visiting them in that order walks their
+where no piece can cross: before a mark that follows another character, around a line feed unless a longer piece
+holds one, and behind a letter before such characters as no piece has there. The distinct words of a block of texts that aren't known yet are sorted; visiting them in that order walks their
 trie depth-first, and the lattice columns of the prefix shared with the word before are kept as they are. Each column
 holds its best score and the last piece of that path; a new character adds one column, from the pieces that end in it.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from seamcover.llm.common import add_columns, read_table, shared
 
 MARK = "▁"
-#: Words whose ids a worker keeps; more are forgotten all at once.
-KEPT_WORDS = 400_000
+#: Words met in two blocks in a row whose ids a worker keeps, and pairs of pieces; more are forgotten all at once.
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 400_000
 #: A word of more characters is encoded in linear memory and not kept.
 KEPT_CHARS = 200
 #: The vocabulary file of the box that this operator reads; another path can be given.
@@ -60,10 +62,15 @@ class Codec:
             raise ValueError("a piece has a mark behind another character")
         words = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in self.inside else f"{MARK}*[^{MARK}]+|{MARK}+"
         self.words = re.compile(words)
-        self.valid: dict[tuple[int, int], bool] = {}
+        # no piece goes on behind a letter with one of these
+        apart = {c for c in self.id if len(c) == 1 and not c.isalnum()} - {b for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha()} - {MARK}
+        self.tail = re.compile(rf"(?<=[^\W\d_])(?=[{''.join(map(re.escape, sorted(apart)))}])") if apart else None
+        self.valid: dict[int, bool] = {}  # by first piece << 32 | second
         self.kept: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
         self.symbols: dict[int, str] = {i: p for p, i in self.id.items()}
-        self.tails: dict[str, int | None] = {p[i:]: 1 for p in self.id for i in range(1, len(p))} | dict.fromkeys(self.id)
+        self.tails: dict[str, int] = {p[i:]: -1 for p in self.id for i in range(1, len(p))} | self.id
+        self.packed = [array("i", [i]).tobytes() for i in range(n)]
 
     # the symbols of a path: piece ids, and characters without a piece as -1 - code point
 
@@ -108,81 +115,78 @@ class Codec:
 
     def pair(self, a: int, b: int) -> bool:
         """Whether the characters of two symbols merge to just these two."""
-        known = self.valid.get((a, b))
-        if known is None:
-            known = a < 0 or b < 0 or self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
-            if len(self.valid) > 2_000_000:
-                self.valid.clear()
-            self.valid[a, b] = known
+        if a < 0 or b < 0:
+            return True
+        known = self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
+        if len(self.valid) > KEPT_PAIRS:
+            self.valid.clear()
+        self.valid[a << 32 | b] = known
         return known
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Symbols of sorted distinct words; columns of shared prefixes are computed once."""
-        out: dict[str, list[int]] = {}
-        get, longest, pair, score = self.id.get, self.longest, self.pair, self.score
-        bpe, tails, known, valid = self.kind == "bpe", self.tails.get, self.valid, self.valid.get
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (int32) of sorted distinct words; columns of shared prefixes are computed once."""
+        out: dict[str, bytes] = {}
+        longest, pair, score = self.longest + 1, self.pair, self.score
+        bpe, tails, valid, packed = self.kind == "bpe", self.tails.get, self.valid.get, self.packed
         last: list[int] = [0]  # column i: last symbol of the best path over the first i characters
-        back: list[int] = [0]  # and where that symbol begins
-        total: list[float] = [0.0]
+        path: list[bytes] = [b""]  # the ids of that path
+        total: list[float] = [0.0]  # and its score
         previous = ""
         for word in words:
             if bpe and word.startswith(MARK * 3):
-                out[word] = self.merge(word)
+                out[word] = b"".join([packed[k] if k >= 0 else self._fallback(chr(-1 - k)) for k in self.merge(word)])
                 continue
-            n, common = len(word), 0
+            common = 0
             for a, b in zip(word, previous, strict=False):
                 if a != b:
                     break
                 common += 1
-            del last[common + 1 :], back[common + 1 :], total[common + 1 :]
-            for i in range(common + 1, n + 1):
-                best, begin, sum_ = None, i - 1, -1e300
-                arcs = []
-                for j in range(i - 1, max(-1, i - 1 - longest), -1):
-                    k = tails(word[j:i], 0)
-                    if k is None:  # a piece
-                        arcs.append((j, get(word[j:i])))
-                    elif not k:  # no piece ends like this
+            del last[common + 1 :], path[common + 1 :], total[common + 1 :]
+            for i in range(common + 1, len(word) + 1):
+                best, begin, sum_ = -1, i - 1, -1e300
+                for j in range(i - 1, max(-1, i - longest), -1):
+                    k = tails(word[j:i])
+                    if k is None:  # no piece ends like this
                         break
-                for j, k in reversed(arcs):
-                    if bpe:
-                        if j == 0 or (valid((last[j], k)) if (last[j], k) in known else pair(last[j], k)):
-                            best, begin, sum_ = k, j, 0.0
-                            break
-                    elif (s := total[j] + score[k]) > sum_:
-                        best, begin, sum_ = k, j, s
-                if best is None:  # a character without a piece
-                    best, sum_ = -1 - ord(word[i - 1]), total[i - 1] - 1e6
+                    if k < 0:  # a longer one does
+                        continue
+                    if not bpe:
+                        if (s := total[j] + score[k]) > sum_:
+                            best, begin, sum_ = k, j, s
+                    elif not j or (x if (x := valid(last[j] << 32 | k)) is not None else pair(last[j], k)):
+                        best, begin, sum_ = k, j, 0.0
+                        break
+                if best >= 0:
+                    path.append(path[begin] + packed[best])
+                else:  # a character without a piece
+                    sum_ = total[i - 1] - 1e6
+                    path.append(path[i - 1] + self._fallback(word[i - 1]))
                 last.append(best)
-                back.append(begin)
                 total.append(sum_)
-            path, i = [], n
-            while i:
-                path.append(last[i])
-                i = back[i]
-            out[word] = path[::-1]
+            out[word] = path[-1]
             previous = word
         return out
 
-    def _packed(self, symbols: list[int]) -> bytes:
-        ids: list[int] = []
-        for s in symbols:
-            ids.extend((s,) if s >= 0 else [self.byte[b] for b in chr(-1 - s).encode("utf-8", "replace")])
-        return np.array(ids, np.int32).tobytes()
+    def _fallback(self, char: str) -> bytes:
+        return array("i", [self.byte[b] for b in char.encode("utf-8", "replace")]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32."""
         cut = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.kept) > KEPT_WORDS:
+        words = {w for ws in cut for w in ws}
+        here = {w: self.kept[w] for w in words.intersection(self.kept)}
+        again = {w: self.recent[w] for w in words.intersection(self.recent)}
+        if len(self.kept) + len(again) > KEPT_WORDS:
             self.kept.clear()
-        kept = self.kept
-        new = sorted({w for ws in cut for w in ws}.difference(kept))
-        fresh = self.encode_words(new)
-        here = {w: self._packed(s) for w, s in fresh.items()}
-        kept.update((w, s) for w, s in here.items() if len(w) <= KEPT_CHARS)
-        if any(len(w) > KEPT_CHARS for w in new):
-            kept = {**kept, **here}
-        return [b"".join(map(kept.__getitem__, ws)) for ws in cut]
+        self.kept.update(again)
+        here.update(again)
+        split = self.tail.split if self.tail else lambda w: [w]
+        new = {w: split(w) for w in words if w not in here}
+        packed = self.encode_words(sorted({p for parts in new.values() for p in parts}))
+        fresh = {w: b"".join([packed[p] for p in parts]) for w, parts in new.items()}
+        here.update(fresh)
+        self.recent = {w: s for w, s in fresh.items() if len(w) <= KEPT_CHARS}
+        return [b"".join(map(here.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the ids' text."""
