@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one call of an operator's function gets at once, one text at least.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of the Arrow batches between Spark and Python, a row at least.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 #: A-Z to a-z; ASCII other than letters and digits to a space; all other bytes stay.
 WORD_TABLE = bytes(
@@ -64,6 +66,13 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, l
             yield batch.slice(a, b - a), column.slice(a, b - a).to_pylist()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was set to Arrow batches that keep executors and workers small."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+    return df
+
+
 def add_columns(
     df: DataFrame, text: str, function: Callable[[list[bytes | None]], dict[str, object]], fields: dict[str, str],
     keep: list[str] | None = None,
@@ -89,7 +98,7 @@ def add_columns(
                 arrays += [x if isinstance(x := new[c], pa.Array) else pa.array(x, arrow.field(c).type) for c in fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
 
-    return df.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, schema)
+    return small_batches(df).select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, schema)
 
 
 def emit(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]], schema: str) -> DataFrame:
@@ -101,7 +110,7 @@ def emit(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[
         for new in function(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return small_batches(df).mapInArrow(run, kind)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
