@@ -75,14 +75,15 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def add_columns(
     df: DataFrame, text: str, function: Callable[[list[bytes | None]], dict[str, object]], fields: dict[str, str],
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, prefix: str = "",
 ) -> DataFrame:
     """``df`` with columns computed from one text column, slice by slice.
 
     function: gets texts (bytes, or None for null) and returns an Arrow array or a list for each name in ``fields``
     (name to Spark type). keep: columns of ``df`` that are returned, all of them if None; where a name clashes with a
-    new column the new one replaces it.
+    new column the new one replaces it. prefix: stands before the new names.
     """
+    names, fields = list(fields), {prefix + name: kind for name, kind in fields.items()}
     keep = [c for c in (df.columns if keep is None else keep) if c not in fields]
     need = list(dict.fromkeys([*keep, text]))
     schema = T.StructType([df.schema[c] for c in keep])
@@ -95,7 +96,7 @@ def add_columns(
             for part, texts in slices(batch, text):
                 new = function(texts)
                 arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
-                arrays += [x if isinstance(x := new[c], pa.Array) else pa.array(x, arrow.field(c).type) for c in fields]
+                arrays += [x if isinstance(x := new[c], pa.Array) else pa.array(x, arrow.field(prefix + c).type) for c in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
 
     return small_batches(df).select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, schema)
@@ -119,6 +120,14 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column has."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the folder of spark.checkpoint.dir, which all executors share.
 

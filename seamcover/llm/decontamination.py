@@ -22,7 +22,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import add_columns, alnum_words, code_point, read_table, shared
+from seamcover.llm.common import add_columns, alnum_words, code_point, free_prefix, read_table, shared
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton.
@@ -78,7 +78,7 @@ def _offsets(text: bytes, runs: list[list[int]]) -> list[dict[str, int]]:
     return [{"start": code_point(text, places[a][0]), "end": code_point(text, places[b - 1][1])} for a, b in runs]
 
 
-def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = WINDOW, prefix: str = "") -> DataFrame:
     """``df``'s kept columns with n_words, n_hit, items (sorted ids as text) and spans (hit runs, in code points)."""
     keep = df.columns if keep is None else keep
     known = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
@@ -110,7 +110,7 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str
                 out[name].append(value)
         return out
 
-    return add_columns(df, text, run, FIELDS, keep)
+    return add_columns(df, text, run, FIELDS, keep, prefix)
 
 
 def digest(items: list[str]) -> str:
@@ -126,7 +126,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    found = scan(docs.withColumn("_hit_text", F.col("text")), read_table(spark, sf_dir, "benchmark"), text="_hit_text", keep=docs.columns)
-    return found.where("n_hit = 0").select(*docs.columns)
-
-
+    own = free_prefix(docs.columns)
+    found = scan(docs, read_table(spark, sf_dir, "benchmark"), prefix=own)
+    return found.where(F.col(f"{own}n_hit") == 0).select(*docs.columns)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import GramCache, add_columns, emit, fold, merged, padded, read_table, shared, slices
+from seamcover.llm.common import GramCache, add_columns, emit, fold, free_prefix, merged, padded, read_table, shared, slices
 
 ORDER = 4
 #: Of each language the sample takes so many texts and so many bytes of text at most, by the hash of the id.
@@ -156,19 +156,19 @@ class Scorer:
         return {"lang_pred": names, "score": scores, "bits_per_byte": bits}
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``df`` with lang_pred, score (the winner's share of the languages' 2 ** -length) and bits_per_byte."""
     scorer = shared(df.sparkSession, model, Scorer)
-    return add_columns(df, text, lambda texts: scorer()(texts), FIELDS, keep)
+    return add_columns(df, text, lambda texts: scorer()(texts), FIELDS, keep, prefix)
 
 
 def training_rows(documents: DataFrame, parts: int = 3, held_out: int = 1) -> DataFrame:
     return documents.where((fold("doc_id", parts) != held_out) & F.col("lang").isNotNull())
 
 
-def accepted() -> Column:
+def accepted(prefix: str = "") -> Column:
     """Whether a predicted row stays: it has a language whose tree codes it in fewer bits than its bytes."""
-    return (F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= REJECT_BITS)
+    return (F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}bits_per_byte") <= REJECT_BITS)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,4 +181,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; ``und`` and texts coded in over REJECT_BITS bits a byte go."""
     model = fit(training_rows(docs))
-    return predict(docs, model).where(accepted()).select(*docs.columns)
+    own = free_prefix(docs.columns)
+    return predict(docs, model, prefix=own).where(accepted(own)).select(*docs.columns)

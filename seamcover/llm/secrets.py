@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import CONTINUATION, add_columns, code_point, read_table, shared
+from seamcover.llm.common import CONTINUATION, add_columns, code_point, free_prefix, read_table, shared
 
 #: Character classes of up to so many characters are spelled out in a query.
 WIDE = 8
@@ -243,12 +243,13 @@ def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     def run(texts):
         found = scanner().spans([t or b"" for t in texts])
-        return {"_clean": [redact(t, s).decode("utf-8", "replace") if s else None for t, s in zip(texts, found, strict=True)]}
+        return {"clean": [redact(t, s).decode("utf-8", "replace") if s else None for t, s in zip(texts, found, strict=True)]}
 
-    clean = add_columns(docs, "text", run, {"_clean": "string"}, docs.columns)
-    changes = {"text": F.coalesce("_clean", "text")}
+    own = free_prefix(docs.columns)
+    clean, new = add_columns(docs, "text", run, {"clean": "string"}, prefix=own), F.col(f"{own}clean")
+    changes = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("_clean").isNotNull(), F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changes["n_chars"] = F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return clean.withColumns(changes).select(*docs.columns)
 
 

@@ -141,10 +141,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = checkpointed(near_duplicates(docs.select("doc_id", "text")))
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = docs.join(kept, "doc_id").select(*docs.columns, F.col("n").alias("_rows_of_id"))
-    single = rows.where("_rows_of_id = 1").select(*docs.columns)
+    single = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     out = [single, docs.where("doc_id IS NULL")] if docs.schema["doc_id"].nullable else [single]
     if not kept.where("n > 1").isEmpty():
         repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi")
-        out.append(repeated.groupBy("doc_id").agg(F.max(F.struct(*[c for c in docs.columns])).alias("r")).select("r.*"))
+        out.append(repeated.groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, out)
