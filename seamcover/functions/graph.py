@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, written to spark.checkpoint.dir (shared by all executors), or to a temporary folder where that is unset."""
+    """The rows, written to spark.checkpoint.dir (shared by all executors), or to a temporary folder where that is unset.
+
+    The plan that reads them begins without the constraints of the plan that made them: over many rounds those grow,
+    and some refer to columns that are no longer there.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

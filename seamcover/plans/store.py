@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Goes into every signature; raised when results change.
@@ -34,7 +33,5 @@ class StageStore:
         return self.spark.read.parquet(path)
 
     def _committed(self, path: str) -> bool:
-        try:
-            return not self.spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(f"{path}/_SUCCESS").isEmpty()
-        except AnalysisException:
-            return False
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
