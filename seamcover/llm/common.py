@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamcover.functions.graph import cut_lineage as checkpointed  # noqa: F401  for the operators
+
 #: Text bytes that one call of an operator's function gets at once, one text at least.
 SLICE_BYTES = 1 << 20
 #: Rows and bytes of the Arrow batches between Spark and Python, a row at least.
@@ -128,19 +130,6 @@ def free_prefix(columns: list[str]) -> str:
     return prefix
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir, which all executors share.
-
-    Where that setting is missing, as in local tests, a temporary folder of this machine is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 _BUILT: dict[str, object] = {}
 
 
