@@ -130,19 +130,23 @@ def free_prefix(columns: list[str]) -> str:
     return prefix
 
 
-_BUILT: dict[str, object] = {}
+_BUILT: dict[tuple[str, str], object] = {}
 
 
-def shared(spark: SparkSession, data: object, build: Callable[[object], object]) -> Callable[[], object]:
-    """Broadcasts data of bounded size; the function returned gives build(data), made once in each Python worker."""
-    sent, token = spark.sparkContext.broadcast(data), uuid.uuid4().hex
+def shared(spark: SparkSession, data: object, build: Callable[[object], object], group: str | None = None) -> Callable[[], object]:
+    """Broadcasts data of bounded size; the function returned gives build(data), made once in each Python worker.
+
+    A worker forgets what it built for other groups (a group for each call if none is given) when it builds anew.
+    """
+    sent = spark.sparkContext.broadcast(data)
+    token = (group or uuid.uuid4().hex, uuid.uuid4().hex)
 
     def get() -> object:
         from seamcover.llm.common import _BUILT
 
         if token not in _BUILT:
-            while len(_BUILT) > 3:
-                _BUILT.pop(next(iter(_BUILT)))
+            for other in [k for k in _BUILT if k[0] != token[0]]:
+                del _BUILT[other]
             _BUILT[token] = build(sent.value)
         return _BUILT[token]
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 
 import ahocorasick
@@ -84,10 +85,10 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str
     known = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     total = known.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = 1 + total // BLOCK_BYTES
-    matchers = []
+    matchers, group = [], uuid.uuid4().hex
     for block in range(n):
         part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block) if n > 1 else known
-        matchers.append(shared(df.sparkSession, ([(r.i, r.t.encode()) for r in part.collect()], size), lambda x: Matcher(*x)))
+        matchers.append(shared(df.sparkSession, ([(r.i, r.t.encode()) for r in part.collect()], size), lambda x: Matcher(*x), group))
 
     def run(texts):
         out: dict[str, list] = {k: [] for k in FIELDS}

@@ -86,7 +86,7 @@ class ContextTree:
             contexts, keys, n0, n1 = tables[k]
             own = log_kt(n0, n1)
             if k == depth or not len(keys):
-                weighted, stop, rest = own, np.ones(len(keys)), np.full(len(keys), 0.5)
+                weighted, stop, rest = own, np.zeros(0), np.zeros(0)
             else:
                 inner, r0, r1 = np.zeros(len(keys)), n0.copy(), n1.copy()
                 if len(below[0]):
@@ -162,12 +162,15 @@ def corpus_counts(df: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
                 words[END_WORD] += len(texts)
                 g, _, own = padded(texts, depth, END, END)
                 u, c = np.unique(g[own], return_counts=True)
-                grams, counts = ([x] for x in merged([*grams, u], [*counts, c]))
-                if len(words) > FLUSH or len(grams[0]) > FLUSH:
-                    yield from rows(words, grams[0], counts[0])
-                    words, grams, counts = Counter(), [], []
+                grams.append(u)
+                counts.append(c)
+                if len(words) > FLUSH or sum(map(len, grams)) > 2 * FLUSH:
+                    grams, counts = ([x] for x in merged(grams, counts))
+                    if len(words) > FLUSH or len(grams[0]) > FLUSH:
+                        yield from rows(words, grams[0], counts[0])
+                        words, grams, counts = Counter(), [], []
         if words:
-            yield from rows(words, grams[0], counts[0])
+            yield from rows(words, *merged(grams, counts))
 
     def rows(words, grams, counts):
         yield {"word": pa.array(words.keys(), pa.binary()), "gram": pa.nulls(len(words), pa.int64()), "n": pa.array(words.values(), pa.int64())}
