@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from seamcover.llm.common import GramCache, add_columns, emit, fold, free_prefix, merged, padded, read_table, shared, slices
 
 ORDER = 4
-#: Of each language the sample takes so many texts and so many bytes of text at most, by the hash of the id.
+#: Of each language the sample takes so many texts and so many bytes of text at most, by the hash of the id; texts of
+#: over 1 / LONG_SHARE of those bytes come behind all others, so that no single one uses the sample up.
 SAMPLE_DOCS = 1_500
 SAMPLE_BYTES = 6 << 20
+LONG_SHARE = 32
 #: Longest code of an accepted text, in bits a byte: what the bytes themselves take.
 REJECT_BITS = 8.0
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -96,18 +98,19 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled rows; rows with a null label or text teach nothing.
 
-    The sample of a language holds its rows of the smallest hashes of the key, up to ``sample_docs`` rows and
-    ``sample_bytes`` bytes, so the grams that reach the driver are bounded by languages * sample_bytes.
+    The sample of a language holds its rows of the smallest hashes of the key, long texts last, up to ``sample_docs``
+    rows and ``sample_bytes`` bytes, but one row at least. So the grams that reach the driver are bounded by
+    languages * sample_bytes, or a language's first text where that is longer.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy("lang").count().collect()  # a row a language
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.0 if r["count"] < 4 * sample_docs else 1.3 * sample_docs / r["count"])]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     near = rows.where(F.pmod("h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
-    by_hash = Window.partitionBy("lang").orderBy("h", "text")
+    by_hash = Window.partitionBy("lang").orderBy(F.octet_length("text") > sample_bytes // LONG_SHARE, "h", "text")
     sample = (
         near.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs)
         .withColumn("so_far", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("so_far") <= sample_bytes).select("lang", "text")
+        .where((F.col("so_far") <= sample_bytes) | (F.col("rank") == 1)).select("lang", "text")
     )
 
     def count(batches):

@@ -94,6 +94,15 @@ def test_language(spark, sf, rows):
     assert np.mean(right) > 0.95
 
 
+def test_language_sample_survives_long_texts(spark):
+    """A text over the sample's bytes neither uses the sample up nor leaves its language untaught."""
+    rows = [(0, "a", "aaa " * 100), *[(i, "a", f"bal bel{i}") for i in range(1, 9)], (9, "b", "zuq " * 100), (10, None, "xx"), (11, "c", None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), sample_bytes=320)
+    assert model.languages == ["a", "b"]
+    assert model.trees[0].counts[:, 0].sum() == sum(len(language.normalised(t.encode())) + 1 for i, lang, t in rows if lang == "a" and i)
+    assert model.trees[0].counts[:, 1].sum() == 400
+
+
 def test_language_code_lengths():
     """Model costs against dictionaries of contexts."""
     texts = {"aa": [prose("aa", 30)], "bb": [prose("bb", 30)]}
@@ -382,6 +391,16 @@ def test_decontamination_spans_and_blocks(spark, monkeypatch):
     assert r["items"] == ["a", "b", "c"] and [tuple(s) for s in r.spans] == [(2, 17), (23, 27)] and r.n_hit == 5
 
 
+def test_decontamination_in_blocks_gives_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("items", F.lit("old"))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(str, decontamination.scan(docs, bench, prefix="x_").collect()))
+    plain = sorted(map(str, decontamination.scan(docs, bench, keep=["doc_id", "items"]).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1 + bench.agg(F.sum(F.octet_length("text"))).first()[0] // 3)
+    assert sorted(map(str, decontamination.scan(docs, bench, prefix="x_").collect())) == whole
+    assert sorted(map(str, decontamination.scan(docs, bench, keep=["doc_id", "items"]).collect())) == plain
+
+
 def test_secrets(spark, sf, rows):
     kinds = [("assign", secrets.RULES[0].pattern.decode(), re.I | re.A, 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 0, 16), ("hex", r"[0-9a-f]+", 0, 0, 32)]
     for (_, t, *_), f in every(got(secrets.op10_secrets(spark, sf)), rows):
