@@ -6,7 +6,8 @@ with single spaces and a space at both ends; a text, spelled likewise, is scanne
 the spelled text, the count of spaces before it the word number, and the word number the offsets in the original text.
 
 The automaton is built on each executor from the broadcast windows. Their size is checked: items beyond
-BLOCK_BYTES of words are split into blocks, and the texts are scanned once for each block.
+BLOCK_BYTES of words are split into blocks, and the texts are scanned once for each block, one automaton at a time; the
+hits of a block are written before the next one is built.
 
 Edge cases: a null or blank text has no words and no hit; an item without words has no window; a null item id counts
 as no item. Repeated items count once. An empty benchmark hits nothing; an empty table gives no rows.
@@ -16,20 +17,22 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections import defaultdict
 
 import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import add_columns, alnum_words, code_point, free_prefix, read_table, shared
+from seamcover.llm.common import add_columns, alnum_words, checkpointed, code_point, free_prefix, read_table, shared
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text in one automaton, about; it takes some 430 times as much, 220 MB, in each Python worker.
+BLOCK_BYTES = 1 << 19
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FIELDS = {"n_words": "long", "spans": "array<struct<start:long,end:long>>", "items": "array<string>", "n_hit": "long"}
+#: Of one block: runs of hit words (past the last word) with their offsets, and the items.
+HITS = {"runs": "array<struct<first:long,last:long,start:long,end:long>>", "items": "array<string>"}
 
 
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
@@ -79,34 +82,34 @@ def _offsets(text: bytes, runs: list[list[int]]) -> list[dict[str, int]]:
     return [{"start": code_point(text, places[a][0]), "end": code_point(text, places[b - 1][1])} for a, b in runs]
 
 
+def joined(runs: list[list[int]]) -> list[list[int]]:
+    """Runs [first, past the last] in order, those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = WINDOW, prefix: str = "") -> DataFrame:
     """``df``'s kept columns with n_words, n_hit, items (sorted ids as text) and spans (hit runs, in code points)."""
     keep = df.columns if keep is None else keep
     known = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     total = known.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = 1 + total // BLOCK_BYTES
-    matchers, group = [], uuid.uuid4().hex
-    for block in range(n):
-        part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block) if n > 1 else known
-        matchers.append(shared(df.sparkSession, ([(r.i, r.t.encode()) for r in part.collect()], size), lambda x: Matcher(*x), group))
+    if n > 1:
+        return _scan_blocks(df, checkpointed(known), n, text, keep, size, prefix)
+    matcher = _matcher(known, size)
 
     def run(texts):
         out: dict[str, list] = {k: [] for k in FIELDS}
-        parts = [m() for m in matchers]
         for text in texts:
             words = alnum_words(text or b"")
-            runs, found = [], set()
-            for m in parts:
-                r, f = m.hits(words)
-                runs += r
-                found |= f
-            joined: list[list[int]] = []
-            for a, b in sorted(runs):
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(b, joined[-1][1])
-                else:
-                    joined.append([a, b])
-            values = len(words), _offsets(text, joined) if joined else [], sorted(found), sum(b - a for a, b in joined)
+            runs, found = matcher().hits(words)
+            runs = joined(runs)
+            values = len(words), _offsets(text, runs) if runs else [], sorted(found), sum(b - a for a, b in runs)
             for name, value in zip(FIELDS, values, strict=True):
                 out[name].append(value)
         return out
@@ -114,6 +117,59 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str
     return add_columns(df, text, run, FIELDS, keep, prefix)
 
 
+def _matcher(items: DataFrame, size: int):
+    return shared(items.sparkSession, ([(r.i, r.t.encode()) for r in items.collect()], size), lambda x: Matcher(*x))
+
+
+def _scan_blocks(df: DataFrame, known: DataFrame, n: int, text: str, keep: list[str], size: int, prefix: str) -> DataFrame:
+    """The same for a benchmark of ``n`` blocks: each block's hits are joined to the texts by a row number."""
+    fields = {prefix + name: kind for name, kind in FIELDS.items()}
+    keep = [c for c in keep if c not in fields]
+    own = free_prefix([*df.columns, *fields])
+    row, runs, items = f"{own}row", f"{own}runs", f"{own}items"
+    rows = checkpointed(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.monotonically_increasing_id().alias(row)))
+    hits = None
+    for block in range(n):
+        matcher = _matcher(known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block), size)
+
+        def run(texts, matcher=matcher):
+            out: dict[str, list] = {k: [] for k in HITS}
+            for text in texts:
+                found, names = matcher().hits(alnum_words(text or b""))
+                found = joined(found)
+                at = _offsets(text, found) if found else []
+                out["runs"].append([{"first": a, "last": b, **o} for (a, b), o in zip(found, at, strict=True)])
+                out["items"].append(sorted(names))
+            return out
+
+        part = checkpointed(add_columns(rows, text, run, HITS, [row], own).where(F.size(runs) > 0))
+        hits = part if hits is None else hits.unionByName(part)
+    found = hits.groupBy(row).agg(F.flatten(F.collect_list(runs)).alias(runs), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    counted = add_columns(rows, text, lambda texts: {"n_words": [len(alnum_words(t or b"")) for t in texts]}, {"n_words": "long"}, [*keep, row], prefix)
+    whole = counted.join(found.withColumn(runs, _joined_runs(runs)), row, "left")
+    new = {
+        "n_words": F.col(f"{prefix}n_words"),
+        "spans": F.coalesce(F.transform(runs, lambda r: F.struct(r.start.alias("start"), r.end.alias("end"))), F.array().cast(FIELDS["spans"])),
+        "items": F.coalesce(items, F.array().cast(FIELDS["items"])),
+        "n_hit": F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"]), F.lit(0)),
+    }
+    return whole.select(*[F.col(f"`{c}`") for c in keep], *[new[name].alias(prefix + name) for name in FIELDS])
+
+
+def _joined_runs(runs: str):
+    """Runs of several blocks in order, those that overlap or touch as one."""
+
+    @F.pandas_udf(HITS["runs"])
+    def join(column: pd.Series) -> pd.Series:
+        out = []
+        for found in column:
+            ends = {r["first"]: r["start"] for r in found}, {r["last"]: r["end"] for r in found}
+            out.append([{"first": a, "last": b, "start": ends[0][a], "end": ends[1][b]} for a, b in joined([[r["first"], r["last"]] for r in found])])
+        return pd.Series(out)
+
+    return join(F.col(runs))
+
+
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
