@@ -112,6 +112,31 @@ def b10_border_distance(spark, sf_dir):
     return d.select("px", "py", F.round(F.col("distance") * F.col("distance")).cast("long").alias("square"))
 
 
+def b11_window_crop(spark, sf_dir):
+    """The pixels of a window of 32 x 32 from the origin."""
+    return raster.crop(_raster(spark, sf_dir)[0], 32, 32)
+
+
+def f15_boundary(spark, sf_dir):
+    """Distances of the raster's borders to those of the sieved one, in millionths: mean, p95, greatest, share within 2."""
+    pixels, meta = _raster(spark, sf_dir)
+    sieved = raster.sieve(pixels, meta.width, 40)
+    found = metrics.boundary(raster.border_distance(raster.border_pixels(pixels), raster.border_pixels(sieved), 8), 2.0)
+    return found.select(*[F.round(F.col(c) * 1000000).cast("long").alias(c) for c in found.columns])
+
+
+def c5_quantise(spark, sf_dir):
+    """The rectangles on a grid of two pixels; those that become too thin lose their rings."""
+    return topology.quantise(_rectangles(spark, sf_dir), 2.0).select("poly_id", "ring", "seq", "x", "y")
+
+
+def d7_extent(spark, sf_dir):
+    """Outer edges, and whether they lie on the raster's frame and are kept as they are."""
+    _, meta = _raster(spark, sf_dir)
+    found = topology.fix_outer(topology.labelled(_edges(spark, sf_dir)), "extent", (0, -meta.height, meta.width, 0))
+    return found.where("other = 0").select("poly_id", "x0", "y0", "x1", "y1", "fixed")
+
+
 def g1_ring_edges(spark, sf_dir):
     return topology.midpoints(topology.edges(_rectangles(spark, sf_dir)))
 
@@ -281,7 +306,7 @@ def smooth_polygons(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        a14_raster_from_events, b6_box_blur, b7_quantile_classes, b3_regions, b5_block_mode, b9_border_pixels, b12_nodata_census, b1_sieve, b2_region_edges, b8_rasterize, b10_border_distance,
+        a14_raster_from_events, b6_box_blur, b7_quantile_classes, b3_regions, b5_block_mode, b9_border_pixels, b12_nodata_census, b1_sieve, b2_region_edges, b8_rasterize, b10_border_distance, b11_window_crop, f15_boundary, c5_quantise, d7_extent,
         g1_ring_edges, e2_junctions, g5_densify, e3_reverse_edge_join, f3_edge_stats, g3_arcs, c16_canonical_closed, f1_ring_area, e13_adjacency, f10_segment_multiplicity, f14_shape, f11_iou,
         f16_best_param, g7_mean_rank, e17_pareto, e12_attribute_join, c32_digest, k4_chaikin, j2_rebuild, j6_repair, d10_simple, l2_valid, f5_summary, smooth_polygons, smooth_polygonization,
     )
@@ -336,6 +361,9 @@ def _sql(needs: str, select: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS {'MATERIALIZED ' if n not in ('reach', 'chase') else ''}({_CTE[n]})" for n in names) + " " + select
 
 
+# Squares of the border pixels' distances to the sieved raster's borders, up to 64.
+_DISTANCES = "SELECT a.px, a.py, CAST(min((a.px - b.px) ** 2 + (a.py - b.py) ** 2) FILTER ((a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 64) AS BIGINT) square FROM (SELECT a.px, a.py FROM ras a LEFT JOIN ras l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN ras u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) a, (SELECT a.px, a.py FROM sie a LEFT JOIN sie l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN sie u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) b GROUP BY a.px, a.py"
+
 ORACLE_SQL: dict[str, str] = {
     "a14_raster_from_events": _sql("size pix", "SELECT px, py, v FROM pix"),
     "b6_box_blur": _sql("ras", "SELECT px, py, v FROM blur6"),
@@ -346,7 +374,11 @@ ORACLE_SQL: dict[str, str] = {
     "b12_nodata_census": _sql("ras", "SELECT CAST((SELECT w * CAST(ceil(n * 1.0 / w) AS BIGINT) FROM size) - count(*) AS BIGINT) n_nodata, min(px) min_px, max(px) max_px, min(py) min_py, max(py) max_py FROM ras"),
     "b1_sieve": _sql("sie", "SELECT px, py, cls FROM sie"),
     "f11_iou": _sql("sie", "SELECT cls, count(*) FILTER (t = cls AND o = cls) n_both, count(*) FILTER (t = cls) n_truth, count(*) FILTER (o = cls) n_out FROM (SELECT a.cls t, b.cls o, unnest(list_distinct([a.cls, b.cls])) cls FROM ras a JOIN sie b USING (px, py)) GROUP BY cls"),
-    "b10_border_distance": _sql("sie", "SELECT a.px, a.py, CAST(min((a.px - b.px) ** 2 + (a.py - b.py) ** 2) FILTER ((a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 64) AS BIGINT) square FROM (SELECT a.px, a.py FROM ras a LEFT JOIN ras l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN ras u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) a, (SELECT a.px, a.py FROM sie a LEFT JOIN sie l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN sie u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) b GROUP BY a.px, a.py"),
+    "b10_border_distance": _sql("sie", _DISTANCES),
+    "b11_window_crop": _sql("ras", "SELECT px, py, cls FROM ras WHERE px < 32 AND py < 32"),
+    "f15_boundary": _sql("sie", f'SELECT CAST(round(avg(d) * 1000000) AS BIGINT) mean, CAST(round(quantile_cont(d, 0.95) * 1000000) AS BIGINT) p95, CAST(round(max(d) * 1000000) AS BIGINT) hausdorff, CAST(round(avg(CASE WHEN d <= 2 THEN 1.0 ELSE 0.0 END) * 1000000) AS BIGINT) AS "within" FROM (SELECT sqrt(square) d FROM ({_DISTANCES}))'),
+    "c5_quantise": _sql("ver", "SELECT poly_id, ring, seq, x, y FROM (SELECT *, count(*) OVER (PARTITION BY poly_id) n FROM (SELECT * FROM (SELECT a.poly_id, a.ring, a.seq, CAST(round_even(a.x / 2.0, 0) AS BIGINT) x, CAST(round_even(a.y / 2.0, 0) AS BIGINT) y, CAST(round_even(b.x / 2.0, 0) AS BIGINT) bx, CAST(round_even(b.y / 2.0, 0) AS BIGINT) by_ FROM ver a JOIN ver b ON a.poly_id = b.poly_id AND b.seq = (a.seq + 3) % 4) WHERE x <> bx OR y <> by_)) WHERE n >= 3"),
+    "d7_extent": _sql("lab", "SELECT poly_id, x0, y0, x1, y1, (x0 = x1 AND x0 IN (0, w)) OR (y0 = y1 AND y0 IN (0, -CAST(ceil(n * 1.0 / w) AS BIGINT))) fixed FROM (SELECT * EXCLUDE (n) FROM lab), size WHERE other = 0"),
     "b2_region_edges": _sql("redge", "SELECT * FROM redge"),
     "b8_rasterize": _sql("reg", "SELECT px, CAST(py AS INTEGER) py, region + 1 poly_id FROM reg"),
     "g1_ring_edges": _sql(_NEEDS["ver"] + " raw", "SELECT *, CAST(floor((x0 + x1) / 2.0) AS BIGINT) mx, CAST(floor((y0 + y1) / 2.0) AS BIGINT) my FROM raw"),
