@@ -5,9 +5,11 @@ over the DEPTH bytes before. A node holds a Krichevsky-Trofimov estimator, and i
 Pw = 1/2 Pe + 1/2 (product of Pw over its children). After training the counts are frozen: a decision's probability is
 mixed from the root down with the posterior weights of "stop here" against "go deeper".
 
-A node has children for those longer contexts that hold at least 1 / 2**TREE_BITS of the training bytes, and one child,
-a leaf, for the rest of its data together. So a depth has 2**TREE_BITS contexts at most, whatever the corpus, and the
-model that is broadcast is bounded by 2**TREE_BITS * (DEPTH + 1) * 255 decisions; all training bytes are counted.
+Every context met is kept. The tree is partitioned by its contexts of TOP + 1 bytes: a part's task builds the levels
+below from the part's grams and passes up the sums of its weights; the levels of TOP bytes or fewer, 65,793 contexts at
+most, are built from these and broadcast. Texts are read in blocks of BLOCK_BYTES; each block's distinct grams are sent
+to their parts, and their costs come back to the block's texts. ``tree_bits`` asks for a bounded tree instead: a node
+then has children for the contexts that hold 1 / 2**tree_bits of the training bytes, and one leaf for the rest.
 
 A text is its UTF-8 bytes and one end byte (0xFF, which no text holds), after DEPTH end bytes as its first context, so
 the probabilities of all texts sum to one at most. ``base_score`` is the add-half unigram word model: words that hold
@@ -23,17 +25,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seamcover.llm.common import GramCache, checkpointed, emit, fold, merged, padded, read_table, shared, slices, space_words
+from seamcover.llm.common import GramCache, _arrow_schema, checkpointed, emit, fold, merged, padded, read_table, shared, slices, small_batches, space_words
 
 DEPTH = 5
-TREE_BITS = 17
+#: Levels of so many context bytes or fewer are held by every task.
+TOP = 2
+#: Text bytes whose grams are looked up together, one text at least.
+BLOCK_BYTES = 1 << 25
+#: Training grams of a part, about.
+PART_GRAMS = 1 << 17
 WORD_BITS = 20
 #: Longer words are never broadcast.
 WORD_BYTES = 64
@@ -125,6 +136,58 @@ class ContextTree:
         return bits.astype(np.float32)[None, :]
 
 
+class Subtree:
+    """Levels ``depth`` to ``first`` of the whole tree, of decisions (keys and counts) of the deepest.
+
+    inner: sums of the log weights of that level's children, if it has any. ``root``: keys, counts and log weights of
+    level ``first``.
+    """
+
+    def __init__(self, depth: int, first: int, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, inner: np.ndarray | None = None):
+        self.levels: list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]] = []  # mask, keys, probability of a 1, weight of stopping
+        for k in range(depth, first - 1, -1):
+            own = log_kt(n0, n1)
+            stop = np.ones(len(keys)) if inner is None else 1 / (1 + np.exp(np.clip(inner - own, -700, 700)))
+            weighted = own if inner is None else np.logaddexp(own, inner) - math.log(2)
+            self.levels.append((_mask(k), keys, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), stop.astype(np.float32)))
+            self.root = keys, n0, n1, weighted
+            if k > first:
+                keys, n0, n1, inner = lifted(*self.root, k)
+
+    def mixed(self, context: np.ndarray, prefix: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probability of a 1, from that of the levels below."""
+        for mask, keys, one, stop in self.levels:
+            i = _place(keys, (context & mask) << np.uint64(8) | prefix)
+            p = np.where(i >= 0, stop[i] * one[i] + (1 - stop[i]) * p, 0.5) if len(keys) else np.full(len(p), 0.5)
+        return p
+
+
+def lifted(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Decisions of depth - 1 by those of ``depth``: keys, counts, and sums of their children's log weights."""
+    up, place = np.unique((keys >> np.uint64(8) & _mask(depth - 1)) << np.uint64(8) | keys & np.uint64(255), return_inverse=True)
+    return up, *(np.bincount(place, x, len(up)) for x in (n0, n1, weighted))
+
+
+def subtree(depth: int, first: int, grams: np.ndarray, counts: np.ndarray) -> Subtree:
+    return Subtree(depth, first, *_decisions(grams >> np.uint64(8), (grams & np.uint64(255)).astype(np.int64), counts))
+
+
+def whole_cost(trees: list[Subtree], grams: np.ndarray) -> np.ndarray:
+    """Bits of each gram's last byte; trees: those that hold its contexts, the deepest first."""
+    context, byte = grams >> np.uint64(8), (grams & np.uint64(255)).astype(np.int64)
+    bits = np.zeros(len(grams))
+    for b in range(8):
+        prefix, p = ((1 << b) | (byte >> (8 - b))).astype(np.uint64), np.full(len(grams), 0.5)
+        for tree in trees:
+            p = tree.mixed(context, prefix, p)
+        bits -= np.log2(np.where((byte >> (7 - b)) & 1, p, 1 - p))
+    return bits.astype(np.float32)
+
+
+def _mask(k: int) -> np.uint64:
+    return np.uint64((1 << 8 * k) - 1)
+
+
 def _decisions(context: np.ndarray, byte: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the binary decisions that were met, how often they were 0, and 1."""
     out = []
@@ -179,8 +242,8 @@ def corpus_counts(df: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
     return emit(df.select(text), count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit_tree(counts: DataFrame, depth: int = DEPTH, tree_bits: int = TREE_BITS) -> ContextTree:
-    """The context tree of ``corpus_counts``; only kept contexts reach the driver."""
+def fit_tree(counts: DataFrame, depth: int = DEPTH, tree_bits: int = 17) -> ContextTree:
+    """The bounded context tree of ``corpus_counts``; only kept contexts reach the driver."""
     grams = counts.where("gram IS NOT NULL")
     levels = grams.select(F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")) for k in range(depth + 1)])).alias("x"), "n")
     levels = levels.groupBy(F.col("x.d").alias("d"), F.col("x.g").alias("g")).agg(F.sum("n").alias("n"))
@@ -192,21 +255,94 @@ def fit_tree(counts: DataFrame, depth: int = DEPTH, tree_bits: int = TREE_BITS)
 
 
 class Scorer:
-    """Scores texts by a tree and the frequent words' logarithms."""
+    """The frequent words' logarithms, and the costs of grams by a bounded tree, if there is one."""
+
+    def __init__(self, data: tuple[ContextTree | None, dict[bytes, float]]):
+        tree, self.frequent = data
+        self.cost = tree and GramCache(tree.cost, 1).lookup
+
+
+def scores(texts: list[bytes], depth: int, cost: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    grams, starts, own = padded(texts, depth, END, END)
+    found = np.zeros(len(grams), np.float32)
+    found[own] = cost(grams[own]).reshape(-1)
+    return np.add.reduceat(found, starts, dtype=np.float64) * -math.log10(2)
 
-    def __init__(self, data: tuple[ContextTree, dict[bytes, float]]):
-        self.tree, self.frequent = data
-        self.cache = GramCache(self.tree.cost, 1)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        grams, starts, own = padded(texts, self.tree.depth, END, END)
-        cost = self.cache.lookup(grams)[0]
-        cost[~own] = 0
-        return np.add.reduceat(cost, starts, dtype=np.float64) * -math.log10(2)
+def _blocks(batch: pa.RecordBatch, text: str, done: int) -> tuple[np.ndarray, int]:
+    """Block of each row, by the text bytes before it in the partition, and the bytes with this batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = done + np.cumsum(sizes)
+    return (TaskContext.get().partitionId() << 32) + (ends - sizes) // BLOCK_BYTES, int(ends[-1]) if len(ends) else done
 
 
-def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str] | None = None, depth: int = DEPTH, tree_bits: int = TREE_BITS, word_bits: int = WORD_BITS) -> DataFrame:
-    """``df``'s kept columns with n_tokens, n_known, train_tokens, base_score and score; counts: ``corpus_counts`` of the training rows."""
+def gram_costs(df: DataFrame, counts: DataFrame, depth: int) -> DataFrame:
+    """(block, grams, costs) of the distinct grams of each block of ``text``, by the whole tree of ``corpus_counts``."""
+    trained = counts.where("gram IS NOT NULL")
+    distinct, total = trained.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    first = min(TOP + 1, depth)
+    # blocks send about 1 / 32 of their bytes as grams, so parts grow in number with the bytes too
+    n = 1 | (1 + max(distinct, total >> 8) // PART_GRAMS)
+    mask = (1 << 8 * first) - 1
+    trained = trained.select(F.pmod(F.shiftright("gram", 8).bitwiseAND(F.lit(mask)), F.lit(n)).cast("int").alias("part"), "gram", "n")
+
+    def wanted(batches):
+        done, block, grams = 0, None, []
+
+        def rows():
+            g = np.unique(np.concatenate(grams))
+            part = (g >> np.uint64(8) & np.uint64(mask)) % np.uint64(n)
+            order = np.argsort(part, kind="stable")
+            parts, starts = np.unique(part[order], return_index=True)
+            lists = np.split(g[order], starts[1:])
+            return {"block": [block] * len(parts), "part": parts.astype(np.int32), "grams": [x.tobytes() for x in lists]}
+
+        for batch in batches:
+            at, done = _blocks(batch, "text", done)
+            for b in np.unique(at).tolist():
+                if grams and b != block:
+                    yield rows()
+                    grams = []
+                block = b
+                own = np.flatnonzero(at == b)
+                for _, texts in slices(batch.slice(own[0], len(own)), "text"):
+                    g, _, ours = padded([t or b"" for t in texts], depth, END, END)
+                    grams.append(np.unique(g[ours]))
+                if sum(map(len, grams)) > 4 * FLUSH:
+                    grams = [np.unique(np.concatenate(grams))]
+        if grams:
+            yield rows()
+
+    def tree(t: pa.Table) -> Subtree:
+        return subtree(depth, first, t.column("gram").to_numpy().astype(np.uint64), t.column("n").to_numpy())
+
+    def passed_up(t: pa.Table) -> pa.Table:
+        keys, zeros, ones, inner = lifted(*tree(t).root, first)
+        return pa.table({"key": keys.astype(np.int64), "zeros": zeros, "ones": ones, "inner": inner})
+
+    trees = lambda: []
+    if first:
+        up = trained.groupBy("part").applyInArrow(passed_up, "key long, zeros double, ones double, inner double")
+        t = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "inner")]).orderBy("key").toPandas()
+        trees = shared(df.sparkSession, [t["key"].to_numpy(np.int64).astype(np.uint64), *[t[c].to_numpy(float) for c in ("zeros", "ones", "inner")]], lambda x: [Subtree(first - 1, 0, *x)])
+
+    def costs(t: pa.Table, asked: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint64) for x in asked.column("grams").to_pylist()]
+        out = []
+        if lists:
+            g = np.unique(np.concatenate(lists))
+            here = [tree(t), *trees()]
+            cost = np.concatenate([whole_cost(here, x) for x in np.array_split(g, len(g) // 50_000 + 1)])
+            out = [cost[np.searchsorted(g, x)].tobytes() for x in lists]
+        return pa.table({"block": asked.column("block"), "grams": asked.column("grams"), "costs": pa.array(out, pa.binary())})
+
+    asked = emit(df.select("text"), wanted, "block long, part int, grams binary")
+    return trained.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(costs, "block long, grams binary, costs binary")
+
+
+def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str] | None = None, depth: int = DEPTH, tree_bits: int | None = None, word_bits: int = WORD_BITS) -> DataFrame:
+    """``df``'s kept columns with n_tokens, n_known, train_tokens, base_score and score; counts: ``corpus_counts`` of the training rows;
+    tree_bits: bounds the tree, if given."""
     spark = df.sparkSession
     keep = [c for c in df.columns if c != text] if keep is None else keep
     counts = checkpointed(counts)
@@ -216,9 +352,9 @@ def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str]
     common = words.where((F.col("n") >= least) & (F.octet_length("word") <= WORD_BYTES) | (F.col("word") == F.lit(END_WORD))).toPandas()
     frequent = {bytes(w): math.log10(n + 0.5) for w, n in zip(common["word"], common["n"].tolist(), strict=True)}
     end = frequent.get(END_WORD)
-    scorer = shared(spark, (fit_tree(counts, depth, tree_bits), frequent), Scorer)
+    scorer = shared(spark, (None if tree_bits is None else fit_tree(counts, depth, tree_bits), frequent), Scorer)
 
-    def run(batches):
+    def run(batches, cost=None):
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 s, texts = scorer(), [t or b"" for t in texts]
@@ -242,20 +378,46 @@ def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str]
                 yield {
                     # a document's own row joins with nothing, by a word that has a space
                     "rid": pa.array(ids + owner, pa.int64()), "word": pa.array([b" %d" % i for i in ids] + rare, pa.binary()), "times": pa.array([None] * m + times, pa.int64()),
-                    "tokens": pa.array(tokens + [None] * r, pa.int64()), "known": pa.array(known + [None] * r, pa.int64()), "base": pa.array(base + [None] * r, pa.float64()), "score": pa.array([*s.scores(texts).tolist(), *[None] * r], pa.float64()),
+                    "tokens": pa.array(tokens + [None] * r, pa.int64()), "known": pa.array(known + [None] * r, pa.int64()), "base": pa.array(base + [None] * r, pa.float64()), "score": pa.array([*scores(texts, depth, cost or s.cost).tolist(), *[None] * r], pa.float64()),
                     "own": pa.StructArray.from_arrays([_tail(part.column(k + 2), r) for k in range(len(keep))] or [pa.nulls(m + r, pa.int8())], fields=own_fields),
                 }
 
-    from seamcover.llm.common import _arrow_schema
-
     inner = [df.schema[c] for c in keep]
     kinds = _arrow_schema(type(df.schema)(inner))
     own_fields = [kinds.field(i).with_name(f"k{i}") for i in range(len(keep))] or [pa.field("none", pa.int8())]
     own = ", ".join(f"k{i}: {f.dataType.simpleString()}" for i, f in enumerate(inner)) or "none: tinyint"
-    rows = emit(
-        df.select(F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]),
-        run, f"rid long, word binary, times long, tokens long, known long, base double, score double, own struct<{own}>",
-    )
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    schema = f"rid long, word binary, times long, tokens long, known long, base double, score double, own struct<{own}>"
+    if tree_bits is not None:
+        rows = emit(docs, run, schema)
+    else:
+        arrow = _arrow_schema(T._parse_datatype_string(schema))
+
+        def dealt(batches):
+            done = 0
+            for batch in batches:
+                at, done = _blocks(batch, "text", done)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "block"])
+
+        def block(texts: pa.Table, found: pa.Table) -> pa.Table:
+            grams = np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("grams").to_pylist()] or [np.zeros(0, np.uint64)])
+            costs = np.concatenate([np.frombuffer(x, np.float32) for x in found.column("costs").to_pylist()] or [np.zeros(0, np.float32)])
+            order = np.argsort(grams)
+            grams, costs = grams[order], costs[order]
+
+            def cost(wanted):
+                i = _place(grams, wanted)
+                if (i < 0).any():
+                    raise RuntimeError("the texts' order changed between two readings")
+                return costs[i]
+
+            lookup = GramCache(lambda x: cost(x)[None, :], 1, 18).lookup
+            made = run(texts.combine_chunks().to_batches(), lookup)
+            return pa.Table.from_batches([pa.RecordBatch.from_arrays([x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow) for new in made], arrow)
+
+        costs = gram_costs(docs, counts, depth)
+        placed = small_batches(docs).mapInArrow(dealt, T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())]))
+        rows = placed.groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(block, schema)
     met = rows.join(words.where(F.col("word") != F.lit(END_WORD)), "word", "left")
     found = F.coalesce("n", F.lit(0))
     one = met.groupBy("rid").agg(

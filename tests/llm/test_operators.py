@@ -310,6 +310,19 @@ def test_context_tree_against_recursion(spark):
         assert r.score == pytest.approx(whole(texts[r.doc_id]), rel=1e-5)
 
 
+@pytest.mark.parametrize("depth", [0, 4])
+def test_whole_tree_against_recursion_beyond_the_old_cut(spark, monkeypatch, depth):
+    """Over 131,072 training bytes: contexts met once keep their own estimators, in several parts and blocks."""
+    monkeypatch.setattr(scoring, "PART_GRAMS", 40)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 50_000)
+    texts = [b"abab" * 35_000, b"abac", b"", b"cab", "é漢".encode(), b"bacabab"]
+    train = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate([*texts, b"never met"])], "doc_id long, text string").coalesce(1)
+    whole = brute_ctw(texts, depth)
+    for r in scoring.score(df, scoring.corpus_counts(train, depth=depth), depth=depth).collect():
+        assert r.doc_id == 0 or r.score == pytest.approx(whole([*texts, b"never met"][r.doc_id]), rel=1e-4)
+
+
 def test_probabilities_of_bytes_sum_to_one(spark):
     df = spark.createDataFrame([(i, prose("aa", 20)) for i in range(20)], "doc_id long, text string")
     tree = scoring.fit_tree(scoring.corpus_counts(df, depth=3), depth=3, tree_bits=6)
