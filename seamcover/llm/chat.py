@@ -3,16 +3,17 @@
 A message's lines are parsed into quote levels: the number of ``>`` in front, each with blanks around it. A run of lines
 of one level above 0 is a quoted passage, level 0 is the message's own text. Passages and own paragraphs are
 normalised (A-Z lower-cased, words of letters, digits and bytes past ASCII, single spaces) and hashed with XXH64 and their word
-count; a passage is linked to the latest earlier message of the same conversation that holds the same text as a run of
-its paragraphs' words: as a whole paragraph, or as a whole message. A message answers the one that its shallowest
+count; a passage is linked to the latest earlier message of the same conversation that holds the same text: as a line,
+as its whole own text, or as a run of consecutive lines. Runs skip lines without words, and are known by a 127-bit
+rolling hash of their lines: of the originals, runs of those lengths are hashed that the conversation's quotes have. A message answers the one that its shallowest
 passage links to; without a link it answers the message before it. Own text without quotes is kept.
 
-The join is on (conversation, hash) and then on the normalised text itself, so a hash collision links nothing. Equal
+But for runs, texts are compared by the normalised text itself, so a hash collision links nothing. Equal
 passages are counted once a message, and of a conversation's equal originals only the latest one before the quote is
 taken by a window over the numbers, so no pairs within a group are made. Conversations are ordered by reply:
 ``position`` is a message's place in depth-first order of the reply tree.
 
-Edge cases: a null text is an empty message; a message of nothing but quotes stays, with empty text. Turns that repeat
+Edge cases: a quote without words is no passage; a null text is an empty message; a message of nothing but quotes stays, with empty text. Turns that repeat
 are ordered by role and text, and equal rows are one message. Null conversation ids form one conversation. An empty
 table gives no rows.
 """
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import add_columns, alnum_words, checkpointed, read_table
+from seamcover.llm.common import add_columns, alnum_words, checkpointed, emit, read_table
 
-#: Passages of fewer words are too common to name their original.
-LEAST_WORDS = 3
+#: Of the hash of runs of lines.
+PRIME, BASE = (1 << 127) - 1, 0x5BD1E9955BD1E9955BD1E995
 #: Turns that one task numbers at once.
 RANGE = 1024
-FIELDS = {"body": "string", "parts": "array<struct<level:int,hash:long,norm:string>>"}
+FIELDS = {"body": "string", "parts": "array<struct<level:int,hash:long,norm:string,run:string,lines:int>>"}
 
 
 def parse(text: str) -> list[tuple[int, list[str]]]:
@@ -52,9 +53,26 @@ def normalised(text: str) -> str:
     return b" ".join(alnum_words(text.encode("utf-8", "replace"))).decode("utf-8", "replace")
 
 
+def line_digests(lines: list[str]) -> list[int]:
+    """Of the lines that have words."""
+    return [xxhash.xxh3_128_intdigest(x) % PRIME for x in map(normalised, lines) if x]
+
+
+def line_runs(digests: list[int], size: int) -> list[str]:
+    """Keys of all runs of ``size`` lines; no normalised text begins with a line feed."""
+    out, h, top = [], 0, pow(BASE, size, PRIME)
+    for i, x in enumerate(digests):
+        h = (h * BASE + x - (digests[i - size] * top if i >= size else 0)) % PRIME
+        if i >= size - 1:
+            out.append(f"\n{size}:{h:032x}")
+    return out
+
+
 def _part(level: int, text: str) -> dict | None:
     norm = normalised(text)
-    return {"level": level, "hash": xxhash.xxh64_intdigest(norm) - (1 << 63), "norm": norm} if norm.count(" ") + 1 >= LEAST_WORDS else None
+    lines = line_digests(text.split("\n")) if level else []
+    run = line_runs(lines, len(lines))[0] if len(lines) > 1 else None
+    return {"level": level, "hash": xxhash.xxh64_intdigest(norm) - (1 << 63), "norm": norm, "run": run, "lines": len(lines)} if norm else None
 
 
 def quotes(text: bytes | None) -> tuple[str, list[dict]]:
@@ -67,7 +85,7 @@ def quotes(text: bytes | None) -> tuple[str, list[dict]]:
             parts[0, p["norm"]] = p
     for level, lines in runs:
         if level and (p := _part(level, "\n".join(lines))):
-            parts.setdefault((level, p["norm"]), p)
+            parts[level, p["norm"], p["run"]] = p
     return body, list(parts.values())
 
 
@@ -77,7 +95,7 @@ def link(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role:
 
     def run(texts):
         found = [quotes(t) for t in texts]
-        return {"body": [b for b, _ in found], "parts": pa.array([p for _, p in found], pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("norm", pa.string())])))}
+        return {"body": [b for b, _ in found], "parts": pa.array([p for _, p in found], pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("norm", pa.string()), ("run", pa.string()), ("lines", pa.int32())])))}
 
     rows = df.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x")).distinct()
     parsed = checkpointed(add_columns(rows, "x", run, FIELDS, ["c", "t", "r"]).withColumn("b", F.floor(F.col("t") / F.lit(RANGE))))
@@ -86,10 +104,27 @@ def link(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role:
     order = Window.partitionBy("c", "b").orderBy("t", "r", F.xxhash64("body"), "body")
     numbered = parsed.join(first, F.col("c").eqNullSafe(F.col("fc")) & F.col("b").eqNullSafe(F.col("fb")))
     messages = checkpointed(numbered.select("c", "t", "r", "body", "parts", (F.col("before") + F.row_number().over(order) - 1).alias("number")))
-    parts = messages.select("c", "number", F.explode("parts").alias("p")).select("c", "number", "p.level", "p.hash", "p.norm")
+    parts = messages.select("c", "number", F.explode("parts").alias("p")).select("c", "number", "p.*")
+    sizes = parts.where("lines > 1").groupBy("c").agg(F.collect_set("lines").alias("sizes")).select(F.col("c").alias("sc"), "sizes")
+    sized = messages.join(sizes, F.col("c").eqNullSafe(F.col("sc"))).select("c", "number", "body", "sizes")
+
+    def runs(batches):
+        for batch in batches:
+            for c, number, body, sizes in zip(*batch.columns, strict=True):
+                lines = line_digests(body.as_py().split("\n"))
+                found = sorted({r for size in sizes.as_py() for r in line_runs(lines, size)})
+                for a in range(0, len(found), 1 << 12):
+                    k = len(found[a : a + (1 << 12)])
+                    yield {"c": pa.array([c.as_py()] * k, batch.schema.field(0).type), "number": pa.array([number.as_py()] * k, pa.int64()), "norm": found[a : a + (1 << 12)]}
+
+    held = emit(sized.withColumn("number", F.col("number").cast("long")), runs, f"c {parts.schema['c'].dataType.simpleString()}, number long, norm string")
+    texts = parts.select("c", "number", "level", "hash", "norm", F.col("norm").alias("passage"))
+    asked = parts.where("lines > 1").select("c", "number", "level", F.lit(0).cast("long").alias("hash"), F.col("run").alias("norm"), F.col("norm").alias("passage"))
+    held = held.select("c", "number", F.lit(0).alias("level"), F.lit(0).cast("long").alias("hash"), "norm", F.lit(None).cast("string").alias("passage"))
+    parts = texts.unionByName(asked).unionByName(held)
     # One sort by (passage, number) brings each quote behind the originals before it.
     same = Window.partitionBy("c", "hash", "norm").orderBy("number").rangeBetween(Window.unboundedPreceding, -1)
-    seen = parts.withColumn("origin", F.max(F.when(F.col("level") == 0, F.col("number"))).over(same)).where("level > 0")
+    seen = parts.withColumn("origin", F.max(F.when(F.col("level") == 0, F.col("number"))).over(same)).where("level > 0").groupBy("c", "number", "level", "passage").agg(F.max("origin").alias("origin"))
     replies = seen.groupBy("c", "number").agg(
         F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.min(F.when(F.col("origin").isNotNull(), F.struct("level", (-F.col("origin")).alias("o")))).alias("first")
     )

@@ -455,6 +455,15 @@ def test_chat(spark):
     assert done == {1: ["What is a rendezvous hash?", "It is a way of choosing.\nSecond line is here now.", "Yes.", "I meant weighted."]}
 
 
+def test_chat_links_runs_of_lines_and_short_quotes(spark):
+    rows = [
+        (1, 0, "a", "First line of the mail.\nSecond line of it.\n\nThird one here.\nFourth."), (1, 1, "b", "Something else entirely.\nOK."), (1, 2, "a", "More words."),
+        (1, 3, "b", "> second LINE of it\n>\n> Third one here\nyes"), (1, 4, "a", "> First line of the mail\n> Third one here\nno"), (1, 5, "b", "> OK\nfine"), (None, 0, "b", "One.\nTwo.\nThree."), (None, 1, "b", "x"), (None, 2, "b", "> One.\n> Two.\n\n> :-)"),
+    ]
+    found = {(r.conv_id, r.number): (r.reply_to, r.n_quotes, r.n_linked) for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert [found[1, k] for k in (3, 4, 5)] == [(0, 1, 1), (3, 1, 0), (1, 1, 1)] and found[None, 2] == (0, 1, 1)
+
+
 def test_empty_tables(spark, empty):
     from seamcover.llm.queries import QUERIES
 
