@@ -136,6 +136,9 @@ class Codec:
             if bpe and word.startswith(MARK * 3):
                 out[word] = b"".join([packed[k] if k >= 0 else self._fallback(chr(-1 - k)) for k in self.merge(word)])
                 continue
+            if len(word) > KEPT_CHARS:
+                out[word] = self._encode_long(word)
+                continue
             common = 0
             for a, b in zip(word, previous, strict=False):
                 if a != b:
@@ -167,6 +170,33 @@ class Codec:
             previous = word
         return out
 
+    def _encode_long(self, word: str) -> bytes:
+        """The same for one word, with a symbol and a back pointer a column, followed once at the end."""
+        longest, score, bpe, tails, valid = self.longest + 1, self.score, self.kind == "bpe", self.tails.get, self.valid.get
+        last, back, total = array("i", [0]), array("i", [0]), array("d", [0.0])
+        for i in range(1, len(word) + 1):
+            best, begin, sum_ = -1, i - 1, -1e300
+            for j in range(i - 1, max(-1, i - longest), -1):
+                k = tails(word[j:i])
+                if k is None:
+                    break
+                if k < 0:
+                    continue
+                if not bpe:
+                    if (s := total[j] + score[k]) > sum_:
+                        best, begin, sum_ = k, j, s
+                elif not j or (x if (x := valid(last[j] << 32 | k)) is not None else self.pair(last[j], k)):
+                    best, begin, sum_ = k, j, 0.0
+                    break
+            last.append(best)
+            back.append(begin)
+            total.append(sum_ if best >= 0 else total[i - 1] - 1e6)
+        out, i = [], len(word)
+        while i:
+            out.append(self.packed[last[i]] if last[i] >= 0 else self._fallback(word[i - 1]))
+            i = back[i]
+        return b"".join(reversed(out))
+
     def _fallback(self, char: str) -> bytes:
         return array("i", [self.byte[b] for b in char.encode("utf-8", "replace")]).tobytes()
 

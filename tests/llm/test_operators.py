@@ -148,6 +148,22 @@ def test_pieces_equal_the_library(spark, sf, rows):
         assert ids == sp.encode(t) and codec.decode(ids).decode() == t.replace("▁", " ")
 
 
+def test_long_words_take_linear_memory():
+    import tracemalloc
+
+    codec = pieces.Codec(pieces._vocabulary(None))
+    word = "".join(chr(0x4E00 + rng.randrange(3000)) if i % 3 else rng.choice("abcdefgh") for i in range(12_000))
+    short = "".join(word[:150])
+    assert codec._encode_long(short) == codec.encode_words([short])[short]
+    tracemalloc.start()
+    ids = codec.encode_words([word])[word]
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    import sentencepiece
+
+    assert np.frombuffer(codec.encode([word])[0], np.int32).tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces._vocabulary(None)).encode(word) and len(ids)
+
+
 def test_pieces_decode(spark):
     df = spark.createDataFrame([("two words",), ("",), (None,)], "text string")
     assert [r.text for r in pieces.decode(pieces.encode(df).select("ids")).collect()] == ["two words", "", None]
