@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,33 @@ def crossing_arcs(ids: list[int], lines: list[np.ndarray]) -> list[int]:
     return sorted(out)
 
 
-def rebuild(arcs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def as_given(arcs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, list[list[np.ndarray]] | None]:
+    """AS_GIVEN and the parts of the original arcs, valid or not; where the walk fails, arcs are chained as they come."""
+    if not arcs:
+        return NO_WALK, None
+    arcs = [(before, before) for before, _ in arcs]
+    parts = polygon(arcs)[1]
+    if parts is None:
+        leaving: dict[tuple[float, float], list[int]] = {}
+        for i, (before, _) in enumerate(arcs):
+            leaving.setdefault(tuple(before[0]), []).append(i)
+        left, rings = set(range(len(arcs))), []
+        while left:
+            ring = [min(left)]
+            left.discard(ring[0])
+            while tuple(arcs[ring[-1]][0][-1]) != tuple(arcs[ring[0]][0][0]):
+                after = next((j for j in leaving.get(tuple(arcs[ring[-1]][0][-1]), []) if j in left), None)
+                if after is None:
+                    break
+                left.discard(after)
+                ring.append(after)
+            whole = np.concatenate([arcs[i][0][:-1] for i in ring])
+            rings.append((whole, whole))
+        parts = assemble(rings) or [[r] for r, _ in rings]
+    return AS_GIVEN, parts
+
+
+def rebuild(arcs: DataFrame, only: DataFrame | None = None, face: Callable = polygon) -> DataFrame:
     """Polygons (poly_id, status, wkb, n_parts, n_rings, conflicts) of smoothed arcs; only: their poly_id, if not all.
 
     Both sides of an arc are exploded and grouped by polygon, so there is no join on either of two columns. The wkb of
@@ -156,25 +183,25 @@ def rebuild(arcs: DataFrame, only: DataFrame | None = None) -> DataFrame:
             for pid, own in zip(f["poly_id"], f["arcs"], strict=True):
                 flip = lambda a, k: S.xy(a[k]) if a["ahead"] else S.xy(a[k])[::-1]
                 pairs = [(flip(a, "pts"), flip(a, "smooth")) for a in own]
-                status, parts = polygon(pairs)
+                status, parts = face(pairs)
                 bad = crossing_arcs([a["arc_id"] for a in own], [p for _, p in pairs]) if status in (INVALID, NO_WALK) else []
-                good = status == OK
+                good = status in (OK, AS_GIVEN)
                 rows.append((pid, status, wkb.from_polygons(parts) if good else None, len(parts) if parts else 0, sum(map(len, parts)) if parts else 0, bad))
             yield pd.DataFrame(rows, columns=["poly_id", "status", "wkb", "n_parts", "n_rings", "conflicts"])
 
     return lists.mapInPandas(run, RESULT)
 
 
-def repair(arcs: DataFrame, results: DataFrame, p: Smoothing, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def repair(arcs: DataFrame, results: DataFrame, p: Smoothing) -> tuple[DataFrame, DataFrame]:
     """Arcs and results without invalid polygons.
 
     A round takes the crossing arcs of the bad polygons, or all their smoothed arcs where none cross, one step down the
-    ladder, and rebuilds only the polygons beside them. Each step makes an arc gentler, so the rounds end; polygons
-    that are still bad get the original geometry of all their arcs.
+    ladder, and rebuilds only the polygons beside them. Each step makes an arc gentler, so the rounds end;
+    polygons that are still bad then, whose arcs are all original ones, get the original rings and status AS_GIVEN.
     """
     moving = F.col("state").isin(S.SMOOTHED, S.HALF, S.CORNER)
     arcs, results = cut_lineage(arcs.withColumn("level", F.lit(0))), cut_lineage(results)
-    for turn in range(rounds + 1):
+    while True:
         bad = cut_lineage(results.where(F.col("status").isin(INVALID, NO_WALK)).select("poly_id", "conflicts"))
         if bad.isEmpty():
             break
@@ -184,14 +211,13 @@ def repair(arcs: DataFrame, results: DataFrame, p: Smoothing, rounds: int = 12)
         touched = cut_lineage(own.join(any_named, "poly_id").where("named OR NOT any").select("arc_id").distinct())
         if touched.isEmpty():
             break
-        last = turn == rounds
         mine = arcs.join(touched, "arc_id", "left_semi")
-        down = S.smooth_arcs(mine.drop("smooth", "state").withColumn("fixed", F.col("fixed") | F.lit(last)).withColumn("level", F.col("level") + 1), p)
-        if not last:
-            down = down.withColumn("fixed", F.lit(False))
+        down = S.smooth_arcs(mine.drop("smooth", "state").withColumn("level", F.col("level") + 1), p)
         arcs_next = cut_lineage(arcs.join(touched, "arc_id", "left_anti").unionByName(down.select(*arcs.columns)))
         again = arcs_next.join(touched, "arc_id", "left_semi").select(F.explode(F.array("lpoly", "rpoly")).alias("poly_id")).where("poly_id <> 0").union(bad.select("poly_id")).distinct()
         fresh = rebuild(arcs_next, again)
         results = cut_lineage(results.join(again, "poly_id", "left_anti").unionByName(fresh))
         arcs = arcs_next
+    if not bad.isEmpty():
+        results = cut_lineage(results.join(bad, "poly_id", "left_anti").unionByName(rebuild(arcs, bad, as_given)))
     return arcs.drop("level"), results

@@ -149,6 +149,14 @@ def test_repair_brings_polygons_to_validity(spark):
     assert results.where("status <> 1").count() == 0 and results.count() == 4
 
 
+def test_polygons_that_stay_bad_keep_their_original_rings(spark):
+    twisted = F.when(F.col("closed") & (F.col("rpoly") == 2), F.transform("pts", lambda q: F.struct((q.x + 5).alias("x"), q.y.alias("y")))).otherwise(F.col("pts"))
+    bad = arcs_of(spark, "island").withColumn("pts", twisted).withColumn("smooth", F.col("pts")).withColumn("state", F.lit(smoothing.ORIGINAL))
+    _, results = rebuild.repair(bad, rebuild.rebuild(bad), P.Smoothing("gaussian", sigma=1.0))
+    found = {r.poly_id: r for r in results.collect()}
+    assert found[1].status == rebuild.AS_GIVEN and len(found) == 4 and all(r.wkb for r in found.values())
+
+
 def test_wkb_round_trip():
     parts = [[np.array(fixtures.square(0, 0, 10, 10), float), np.array(fixtures.hole(fixtures.square(2, 2, 4, 4)), float)], [np.array(fixtures.square(20, 20, 30, 30), float)]]
     back = wkb.polygons(wkb.from_polygons(parts))
