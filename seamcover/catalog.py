@@ -125,6 +125,14 @@ def f15_boundary(spark, sf_dir):
     return found.select(*[F.round(F.col(c) * 1000000).cast("long").alias(c) for c in found.columns])
 
 
+def f15_boundary_both(spark, sf_dir):
+    """Exact distances between the raster's borders and the sieved one's, both directions, in millionths, and F1 within 2."""
+    pixels, meta = _raster(spark, sf_dir)
+    truth, out = raster.border_pixels(pixels), raster.border_pixels(raster.sieve(pixels, meta.width, 40))
+    found = metrics.boundary_both(raster.nearest_distance(out, truth), raster.nearest_distance(truth, out), 2.0)
+    return found.select(*[F.round(F.col(c) * 1000000).cast("long").alias(c) for c in found.columns])
+
+
 def c5_quantise(spark, sf_dir):
     """The rectangles on a grid of two pixels; those that become too thin lose their rings."""
     return topology.quantise(_rectangles(spark, sf_dir), 2.0).select("poly_id", "ring", "seq", "x", "y")
@@ -306,7 +314,7 @@ def smooth_polygons(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        a14_raster_from_events, b6_box_blur, b7_quantile_classes, b3_regions, b5_block_mode, b9_border_pixels, b12_nodata_census, b1_sieve, b2_region_edges, b8_rasterize, b10_border_distance, b11_window_crop, f15_boundary, c5_quantise, d7_extent,
+        a14_raster_from_events, b6_box_blur, b7_quantile_classes, b3_regions, b5_block_mode, b9_border_pixels, b12_nodata_census, b1_sieve, b2_region_edges, b8_rasterize, b10_border_distance, b11_window_crop, f15_boundary, f15_boundary_both, c5_quantise, d7_extent,
         g1_ring_edges, e2_junctions, g5_densify, e3_reverse_edge_join, f3_edge_stats, g3_arcs, c16_canonical_closed, f1_ring_area, e13_adjacency, f10_segment_multiplicity, f14_shape, f11_iou,
         f16_best_param, g7_mean_rank, e17_pareto, e12_attribute_join, c32_digest, k4_chaikin, j2_rebuild, j6_repair, d10_simple, l2_valid, f5_summary, smooth_polygons, smooth_polygonization,
     )

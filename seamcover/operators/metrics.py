@@ -47,6 +47,16 @@ def boundary(distances: DataFrame, close: float) -> DataFrame:
     return distances.agg(F.avg("distance").alias("mean"), F.percentile("distance", 0.95).alias("p95"), F.max("distance").alias("hausdorff"), F.avg((F.coalesce(F.col("distance") <= close, F.lit(False))).cast("double")).alias("within"))
 
 
+def boundary_both(out: DataFrame, truth: DataFrame, close: float) -> DataFrame:
+    """One row about the exact border distances of both directions, pooled: mean, p95, hausdorff, and the shares within
+    ``close`` of the output's borders (precision) and of the true ones (recall), with their f1."""
+    near = lambda side: F.coalesce(F.avg(F.when(F.col("side") == side, (F.col("distance") <= close).cast("double"))), F.lit(0.0))
+    pooled = out.select("distance", F.lit(0).alias("side")).unionByName(truth.select("distance", F.lit(1).alias("side")))
+    found = pooled.agg(F.avg("distance").alias("mean"), F.percentile("distance", 0.95).alias("p95"), F.max("distance").alias("hausdorff"), near(0).alias("precision"), near(1).alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return found.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
 def best_parameter(tune: DataFrame, group: list[str], score: str, order: str) -> DataFrame:
     """The row of the greatest score in each group, the first by ``order`` on ties."""
     w = Window.partitionBy(*group).orderBy(F.col(score).desc(), order)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,6 +222,26 @@ def border_distance(borders: DataFrame, others: DataFrame, reach: int) -> DataFr
     return a.join(b, ["cx", "cy"], "left").groupBy("px", "py").agg(F.sqrt(F.min(F.when(far <= reach * reach, far))).alias("distance"))
 
 
+def nearest_distance(borders: DataFrame, others: DataFrame) -> DataFrame:
+    """Exact distance of each pixel of ``borders`` to the nearest of ``others``, null if there are none.
+
+    A pass along the columns of ``others``, for the rows of ``borders``, then one along the rows; a task holds a row.
+    """
+    asked = others.select(F.col("px").alias("x")).distinct().crossJoin(borders.select(F.col("py").alias("y")).distinct()).select(F.col("x").alias("px"), F.col("y").alias("py"), F.lit(None).cast("int").alias("at"))
+    column = asked.unionByName(others.select("px", "py", F.col("py").cast("int").alias("at")))
+    order = Window.partitionBy("px").orderBy("py")
+    above = F.last("at", True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    below = F.first("at", True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    gaps = column.select("px", "py", "at", F.least(F.col("py") - above, below - F.col("py")).cast("long").alias("gap")).where("at IS NULL").drop("at")
+
+    def run(known, wanted):
+        x, g = known["px"].to_numpy("int64"), known["gap"].to_numpy("int64") ** 2
+        found = [math.sqrt(int(((x - q) ** 2 + g).min())) if len(x) else None for q in wanted["px"].tolist()]
+        return wanted.assign(distance=np.array(found, float))[["px", "py", "distance"]]
+
+    return gaps.groupBy("py").cogroup(borders.select("px", "py").groupBy("py")).applyInPandas(run, "px int, py int, distance double")
+
+
 def frame(n: int) -> tuple[int, int]:
     """Width and height of the smallest square-like frame of n pixels."""
     width = max(1, math.isqrt(n - 1) + 1) if n else 1

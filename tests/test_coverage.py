@@ -349,6 +349,16 @@ def test_metrics(spark):
     assert far == {(0, 0): 5.0, (9, 9): None}
 
 
+def test_exact_border_distances_in_both_directions(spark):
+    one, two = [(0, 0), (40, 9), (3, 30)], [(3, 4), (0, 1)]
+    make = lambda rows: spark.createDataFrame(rows, "px int, py int")
+    near = lambda a, b: {p: min(math.dist(p, q) for q in b) for p in a}
+    there, back = raster.nearest_distance(make(one), make(two)), raster.nearest_distance(make(two), make(one))
+    assert {(r.px, r.py): r.distance for r in there.collect()} == pytest.approx(near(one, two))
+    row = metrics.boundary_both(there, back, 2.0).first()
+    assert row.hausdorff == pytest.approx(max(near(one, two).values())) and (row.precision, row.recall) == pytest.approx((1 / 3, 1 / 2)) and row.f1 == pytest.approx(0.4)
+
+
 def test_entry_points_without_the_llm_folder():
     import __spark_entry__ as entry
 
