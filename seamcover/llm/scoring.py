@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamcover.llm.common import GramCache, _arrow_schema, checkpointed, emit, fold, merged, padded, read_table, shared, slices, small_batches, space_words
+from seamcover.llm.common import GramCache, _arrow_schema, checkpointed, emit, fold, merged, padded, read_table, shared, slices, space_words
 
 DEPTH = 5
 #: Levels of so many context bytes or fewer are held by every task.
@@ -295,7 +295,7 @@ def gram_costs(df: DataFrame, counts: DataFrame, depth: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             parts, starts = np.unique(part[order], return_index=True)
             lists = np.split(g[order], starts[1:])
-            return {"block": [block] * len(parts), "part": parts.astype(np.int32), "grams": [x.tobytes() for x in lists]}
+            return {"block": [block] * len(parts), "part": parts.astype(np.int32), "grams": [packed_grams(x) for x in lists]}
 
         for batch in batches:
             at, done = _blocks(batch, "text", done)
@@ -327,7 +327,7 @@ def gram_costs(df: DataFrame, counts: DataFrame, depth: int) -> DataFrame:
         trees = shared(df.sparkSession, [t["key"].to_numpy(np.int64).astype(np.uint64), *[t[c].to_numpy(float) for c in ("zeros", "ones", "inner")]], lambda x: [Subtree(first - 1, 0, *x)])
 
     def costs(t: pa.Table, asked: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, np.uint64) for x in asked.column("grams").to_pylist()]
+        lists = [unpacked_grams(x) for x in asked.column("grams").to_pylist()]
         out = []
         if lists:
             g = np.unique(np.concatenate(lists))
@@ -337,7 +337,25 @@ def gram_costs(df: DataFrame, counts: DataFrame, depth: int) -> DataFrame:
         return pa.table({"block": asked.column("block"), "grams": asked.column("grams"), "costs": pa.array(out, pa.binary())})
 
     asked = emit(df.select("text"), wanted, "block long, part int, grams binary")
-    return trained.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(costs, "block long, grams binary, costs binary")
+    # as many tasks as parts, so that none gets more of them as the input grows
+    dealt = [x.repartition(_tasks(df.sparkSession, n), "part") for x in (trained, asked)]
+    return dealt[0].groupBy("part").cogroup(dealt[1].groupBy("part")).applyInArrow(costs, "block long, grams binary, costs binary")
+
+
+def _tasks(spark: SparkSession, n: int) -> int:
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def packed_grams(grams: np.ndarray) -> bytes:
+    """Sorted distinct grams as compressed differences: first all lowest bytes, then all next ones, and so on."""
+    steps = np.diff(grams, prepend=np.uint64(0))
+    return len(grams).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_grams(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    columns = np.frombuffer(pa.decompress(data[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(columns.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str] | None = None, depth: int = DEPTH, tree_bits: int | None = None, word_bits: int = WORD_BITS) -> DataFrame:
@@ -379,15 +397,12 @@ def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str]
                     # a document's own row joins with nothing, by a word that has a space
                     "rid": pa.array(ids + owner, pa.int64()), "word": pa.array([b" %d" % i for i in ids] + rare, pa.binary()), "times": pa.array([None] * m + times, pa.int64()),
                     "tokens": pa.array(tokens + [None] * r, pa.int64()), "known": pa.array(known + [None] * r, pa.int64()), "base": pa.array(base + [None] * r, pa.float64()), "score": pa.array([*scores(texts, depth, cost or s.cost).tolist(), *[None] * r], pa.float64()),
-                    "own": pa.StructArray.from_arrays([_tail(part.column(k + 2), r) for k in range(len(keep))] or [pa.nulls(m + r, pa.int8())], fields=own_fields),
+                    **{f"k{k}": _tail(part.column(k + 2), r) for k in range(len(keep))},
                 }
 
-    inner = [df.schema[c] for c in keep]
-    kinds = _arrow_schema(type(df.schema)(inner))
-    own_fields = [kinds.field(i).with_name(f"k{i}") for i in range(len(keep))] or [pa.field("none", pa.int8())]
-    own = ", ".join(f"k{i}: {f.dataType.simpleString()}" for i, f in enumerate(inner)) or "none: tinyint"
+    own = [df.schema[c].dataType for c in keep]
     docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
-    schema = f"rid long, word binary, times long, tokens long, known long, base double, score double, own struct<{own}>"
+    schema = ", ".join(["rid long, word binary, times long, tokens long, known long, base double, score double", *[f"k{i} {kind.simpleString()}" for i, kind in enumerate(own)]])
     if tree_bits is not None:
         rows = emit(docs, run, schema)
     else:
@@ -397,10 +412,12 @@ def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str]
             done = 0
             for batch in batches:
                 at, done = _blocks(batch, "text", done)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "block"])
+                for b in np.unique(at).tolist():
+                    own = np.flatnonzero(at == b)
+                    yield {"block": [b], "rows": [_packed_rows(batch.slice(own[0], len(own)))]}
 
         def block(texts: pa.Table, found: pa.Table) -> pa.Table:
-            grams = np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("grams").to_pylist()] or [np.zeros(0, np.uint64)])
+            grams = np.concatenate([unpacked_grams(x) for x in found.column("grams").to_pylist()] or [np.zeros(0, np.uint64)])
             costs = np.concatenate([np.frombuffer(x, np.float32) for x in found.column("costs").to_pylist()] or [np.zeros(0, np.float32)])
             order = np.argsort(grams)
             grams, costs = grams[order], costs[order]
@@ -412,27 +429,39 @@ def score(df: DataFrame, counts: DataFrame, text: str = "text", keep: list[str]
                 return costs[i]
 
             lookup = GramCache(lambda x: cost(x)[None, :], 1, 18).lookup
-            made = run(texts.combine_chunks().to_batches(), lookup)
+            made = run((b for x in texts.column("rows").to_pylist() for b in pa.ipc.open_stream(x)), lookup)
             return pa.Table.from_batches([pa.RecordBatch.from_arrays([x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow) for new in made], arrow)
 
-        costs = gram_costs(docs, counts, depth)
-        placed = small_batches(docs).mapInArrow(dealt, T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())]))
-        rows = placed.groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(block, schema)
+        placed = emit(docs, dealt, "block long, rows binary")
+        n = _tasks(spark, 2 * (counts.where("gram IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_BYTES))
+        dealt_out = [x.repartition(n, "block") for x in (placed, gram_costs(docs, counts, depth))]
+        rows = dealt_out[0].groupBy("block").cogroup(dealt_out[1].groupBy("block")).applyInArrow(block, schema)
     met = rows.join(words.where(F.col("word") != F.lit(END_WORD)), "word", "left")
     found = F.coalesce("n", F.lit(0))
+    # a document's own row alone has these; columns of fixed width keep the aggregate hashed
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
     one = met.groupBy("rid").agg(
-        F.max(F.struct(F.col("tokens").isNotNull().alias("main"), "tokens", "known", "base", "score", "own")).alias("m"),
+        *[F.max(c).alias(c) for c in ("tokens", "known", "base", "score")],
+        *[(F.max(f"k{i}") if isinstance(kind, fixed) else F.first(f"k{i}", True)).alias(f"k{i}") for i, kind in enumerate(own)],
         F.coalesce(F.sum(F.col("times") * F.log10(found + F.lit(0.5))), F.lit(0.0)).alias("log"),
         F.coalesce(F.sum(F.when(found > 0, F.col("times"))), F.lit(0)).alias("sure"),
     )
     whole = math.log10(total + 0.5 * (distinct + 1))
     return one.select(
-        *[F.col(f"m.own.k{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("m.tokens").alias("n_tokens"), (F.col("m.known") + F.col("sure")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("m.base") + F.col("log") - F.col("m.tokens") * F.lit(whole)).alias("base_score"), F.col("m.score").alias("score"),
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        F.col("tokens").alias("n_tokens"), (F.col("known") + F.col("sure")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("log") - F.col("tokens") * F.lit(whole)).alias("base_score"), "score",
     )
 
 
+def _packed_rows(batch: pa.RecordBatch) -> bytes:
+    """Rows as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _tail(column: pa.Array, n: int) -> pa.Array:
     return pa.concat_arrays([column, pa.nulls(n, column.type)])
 
