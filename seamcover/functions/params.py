@@ -52,6 +52,8 @@ class Smoothing:
 
     def scaled(self, factor: float) -> Smoothing:
         """Metres to layer units."""
+        if factor == 1:
+            return self
         return replace(self, sigma=self.sigma * factor, pre=self.pre * factor, post=self.post * factor, dp=self.dp * factor, points_per_100=self.points_per_100 / factor)
 
     def signature(self) -> dict[str, float]:

@@ -89,6 +89,12 @@ def digest(df: DataFrame, binary: str) -> DataFrame:
     return part.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x.d), ","), 256).alias("digest"))
 
 
+def duplicates(e: DataFrame) -> DataFrame:
+    """One row: n_duplicate_edges, the directed edges beyond the first owner; a clean coverage has none."""
+    each = e.groupBy("x0", "y0", "x1", "y1").agg(F.count("*").alias("n"))
+    return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicate_edges"))
+
+
 def summary(arcs: DataFrame, results: DataFrame) -> DataFrame:
     """One row of counts by arc state and polygon status."""
     a = arcs.agg(F.count("*").alias("n_arcs"), *[F.count_if(F.col("state") == s).alias(n) for s, n in ((1, "n_smoothed"), (2, "n_original"), (3, "n_reverted"), (4, "n_half"), (5, "n_corner"))])

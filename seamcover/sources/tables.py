@@ -6,12 +6,14 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamcover.functions import geometry as G
 from seamcover.functions import wkb
 from seamcover.functions.graph import cut_lineage
+from seamcover.functions.lines import Lines
 from seamcover.operators import raster as R
 
 #: Polygons or pixels from which a result may not go to a temporary place.
@@ -62,30 +64,63 @@ def run_rectangles(raster: DataFrame, width: int) -> DataFrame:
     return spans.select((F.col("run") + 1).alias("poly_id"), F.lit(0).alias("ring"), corners).select("poly_id", "ring", "q.seq", "q.x", "q.y")
 
 
+def _rings(data: bytes) -> list[np.ndarray]:
+    """A geometry's open rings, shells counter-clockwise and holes clockwise; those without area are left out."""
+    out = []
+    for part in wkb.polygons(data):
+        for i, ring in enumerate(part):
+            p = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+            if len(p) >= 3 and (area := G.area2(p)):
+                out.append(p if (area > 0) == (i == 0) else p[::-1])
+    return out
+
+
+def _picked(df: DataFrame, fid: str, geometry: str) -> DataFrame:
+    return df.select(F.col(f"`{fid}`").cast("long").alias("fid"), F.col(f"`{geometry}`").alias("wkb"))
+
+
 def polygon_vertices(df: DataFrame, fid: str = "fid", geometry: str = "wkb") -> DataFrame:
     """Ring vertices (poly_id = fid, ring, seq, x, y) of WKB polygons, shells counter-clockwise and holes clockwise.
 
     Null and empty geometries, and rings without area, are left out. Other columns aren't read.
     """
-    import pandas as pd
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for key, data in zip(f["fid"], f["wkb"], strict=True):
-                k = 0
-                for part in wkb.polygons(bytes(data)):
-                    for i, ring in enumerate(part):
-                        p = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
-                        if len(p) < 3 or not G.area2(p):
-                            continue
-                        p = p if (G.area2(p) > 0) == (i == 0) else p[::-1]
-                        rows += [(key, k, s, x, y) for s, (x, y) in enumerate(p.tolist())]
-                        k += 1
-            yield pd.DataFrame(rows, columns=["poly_id", "ring", "seq", "x", "y"]).astype({"poly_id": "int64", "ring": "int32", "seq": "int32", "x": float, "y": float})
-
-    picked = df.select(F.col(fid).cast("long").alias("fid"), F.col(geometry).alias("wkb")).where("wkb IS NOT NULL AND fid IS NOT NULL AND octet_length(wkb) > 9")
-    return picked.mapInPandas(run, "poly_id long, ring int, seq int, x double, y double")
+
+    def run(batches):
+        for batch in batches:
+            rings, keys, numbers = [], [], []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _rings(data.as_py())
+                rings += own
+                keys += [key] * len(own)
+                numbers += range(len(own))
+            lines = Lines.of(rings)
+            columns = [np.repeat(np.array(keys, np.int64), lines.sizes), np.repeat(np.array(numbers, np.int32), lines.sizes), np.arange(len(lines.xy), dtype=np.int32) - np.repeat(lines.cuts[:-1], lines.sizes).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *[pa.array(np.ascontiguousarray(lines.xy[:, k])) for k in (0, 1)]], names=["poly_id", "ring", "seq", "x", "y"])
+
+    return _picked(df, fid, geometry).where("wkb IS NOT NULL AND fid IS NOT NULL AND octet_length(wkb) > 9").mapInArrow(run, "poly_id long, ring int, seq int, x double, y double")
+
+
+def input_report(df: DataFrame, fid: str = "fid", geometry: str = "wkb") -> DataFrame:
+    """One row: n_features, n_skipped (no id, or no ring with an area) and n_invalid_input of the others."""
+
+    @F.pandas_udf("int")
+    def state(column):
+        def one(b):
+            if b is None or len(b) <= 9 or not _rings(bytes(b)):
+                return 0
+            return 2 if G.is_valid(wkb.polygons(bytes(b))) else 1
+
+        return column.map(one)
+
+    found = _picked(df, fid, geometry).select("fid", state("wkb").alias("s"))
+    skipped = F.col("fid").isNull() | (F.col("s") == 0)
+    return found.agg(F.count("*").alias("n_features"), F.count_if(skipped).alias("n_skipped"), F.count_if(~skipped & (F.col("s") == 1)).alias("n_invalid_input"))
+
+
+def content_signature(df: DataFrame, *columns: str) -> str:
+    """What tells one input from another: the number of rows and the sum of their hashes, whatever their order."""
+    n, h = df.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)"))).first()
+    return f"{n}:{h}"
 
 
 def valid_polygons(df: DataFrame, geometry: str = "wkb") -> DataFrame:
