@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,9 +50,17 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def code_point(text: bytes, offset: int) -> int:
-    """Code points before a byte offset."""
-    return len(text[:offset].translate(None, CONTINUATION))
+def code_points(text: bytes, offsets: list[int]) -> list[int]:
+    """Code points before each of the byte offsets; the text is read once, however many there are."""
+    if not offsets or text.isascii():
+        return offsets
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return before[offsets].tolist()
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -85,23 +93,25 @@ def add_columns(
     (name to Spark type). keep: columns of ``df`` that are returned, all of them if None; where a name clashes with a
     new column the new one replaces it. prefix: stands before the new names.
     """
-    names, fields = list(fields), {prefix + name: kind for name, kind in fields.items()}
-    keep = [c for c in (df.columns if keep is None else keep) if c not in fields]
+    names = [prefix + name for name in fields]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     need = list(dict.fromkeys([*keep, text]))
-    schema = T.StructType([df.schema[c] for c in keep])
-    for name, kind in fields.items():
-        schema = schema.add(name, T._parse_datatype_string(kind))
-    arrow = _arrow_schema(schema)
+    # columns travel under plain names, whatever their own ones are
+    schema = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType, df.schema[c].nullable) for i, c in enumerate(keep)])
+    for i, kind in enumerate(fields.values()):
+        schema = schema.add(f"n{i}", T._parse_datatype_string(kind))
+    arrow, own = _arrow_schema(schema), f"k{need.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, own):
                 new = function(texts)
-                arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
-                arrays += [x if isinstance(x := new[c], pa.Array) else pa.array(x, arrow.field(prefix + c).type) for c in names]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
+                arrays = list(part.columns[: len(keep)])
+                arrays += [x if isinstance(x := new[c], pa.Array) else pa.array(x, arrow.field(f"n{i}").type) for i, c in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
-    return small_batches(df).select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, schema)
+    plain = small_batches(df).select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(need)])
+    return plain.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def emit(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]], schema: str) -> DataFrame:

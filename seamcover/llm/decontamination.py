@@ -1,16 +1,20 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Words of texts and benchmark items: A-Z is lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is
-WINDOW consecutive words of an item (all its words if it has fewer). The automaton holds each distinct window, spelled
-with single spaces and a space at both ends; a text, spelled likewise, is scanned once. A match's end gives the place in
-the spelled text, the count of spaces before it the word number, and the word number the offsets in the original text.
+WINDOW consecutive words of an item (all its words if it has fewer). The automaton holds each distinct window; its
+letters are the numbers of the benchmark's words, so it has WINDOW nodes a window at most, held in flat arrays. A block
+of texts is one line of word numbers, 0 for other words and between texts, and is scanned once: cut into lanes that all
+take a step together, each from the WINDOW - 1 words before it. A match's end is a word number, and that gives the
+offsets in the original text.
 
-The automaton is built on each executor from the broadcast windows. Their size is checked: items beyond
-BLOCK_BYTES of words are split into blocks, and the texts are scanned once for each block, one automaton at a time; the
-hits of a block are written before the next one is built.
+The automaton is built on each executor from the broadcast words. Their size is checked: items are dealt in pieces of
+CHUNK words, and pieces beyond BLOCK_BYTES of words in all are split into blocks; the texts are then scanned once for
+each block, one automaton at a time, and the hits of a block are written before the next one is built.
 
 Edge cases: a null or blank text has no words and no hit; an item without words has no window; a null item id counts
-as no item. Repeated items count once. An empty benchmark hits nothing; an empty table gives no rows.
+as no item. Repeated items count once, repeated rows are judged alike, very long texts and items are taken whole. New
+columns replace those of the same name, unless a prefix tells them apart. An empty benchmark hits nothing; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,68 +22,147 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from itertools import repeat
 
-import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import add_columns, alnum_words, checkpointed, code_point, free_prefix, read_table, shared
+from seamcover.llm.common import add_columns, alnum_words, checkpointed, code_points, emit, free_prefix, quoted, read_table, shared, slices
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton, about; it takes some 430 times as much, 220 MB, in each Python worker.
-BLOCK_BYTES = 1 << 19
+#: Bytes of benchmark words in one automaton, about; it takes some 50 times as much in each Python worker.
+BLOCK_BYTES = 1 << 22
+#: Words of an item in one piece, and the next WINDOW - 1.
+CHUNK = 20_000
+#: Words of a lane.
+LANE = 256
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FIELDS = {"n_words": "long", "spans": "array<struct<start:long,end:long>>", "items": "array<string>", "n_hit": "long"}
 #: Of one block: runs of hit words (past the last word) with their offsets, and the items.
 HITS = {"runs": "array<struct<first:long,last:long,start:long,end:long>>", "items": "array<string>"}
 
 
-def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
-    words = alnum_words(text)
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+class Automaton:
+    """Aho-Corasick over sequences of numbers above 0: sequences (n, size), with 0 behind shorter ones.
+
+    States are numbered level by level from the root, 0, and so are the sorted edges that lead to them.
+    """
+
+    def __init__(self, sequences: np.ndarray):
+        n, self.size = sequences.shape
+        self.edges, self.fail, self.length = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ends = np.zeros(n, np.int64)  # the state that each sequence ends in
+        for k in range(self.size):
+            live = np.flatnonzero(sequences[:, k])
+            key = _edge(self.ends[live], sequences[live, k])
+            edges, place = np.unique(key, return_inverse=True)
+            first = len(self.fail)
+            above = (edges >> np.uint64(32)).astype(np.int64)
+            # a state's longest proper suffix goes on from that of the state above; from the root there is none
+            self.fail = np.concatenate([self.fail, self.step(self.fail[above], (edges & np.uint64(0xFFFFFFFF)).astype(np.int64)) if k else np.zeros(len(edges), np.int64)])
+            self.edges = np.concatenate([self.edges, edges])
+            self.ends[live] = first + place.reshape(-1)
+        self.length = np.zeros(len(self.fail), np.int64)
+        self.length[self.ends] = (sequences > 0).sum(1)
+        self.length[0] = 0
+        # the next shorter sequence that ends where this one does, or where this state's suffix does
+        self.shorter, at = np.zeros(len(self.fail), np.int64), self.fail.copy()
+        for _ in range(self.size):
+            self.shorter = np.where((self.shorter == 0) & (self.length[at] > 0), at, self.shorter)
+            at = self.fail[at]
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """States after one letter each."""
+        out = np.zeros(len(state), np.int64)
+        live = np.flatnonzero(letter)
+        state, letter = state[live], letter[live]
+        while len(live) and len(self.edges):
+            key = _edge(state, letter)
+            i = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            there = self.edges[i] == key
+            out[live[there]] = i[there] + 1
+            again = ~there & (state > 0)
+            live, state, letter = live[again], self.fail[state[again]], letter[again]
+        return out
+
+    def scan(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a line of letters where sequences end, and the states there, the longest sequence's."""
+        lead = self.size - 1
+        lanes = -(-len(line) // LANE)
+        padded = np.zeros(lead + lanes * LANE, np.int64)
+        padded[lead : lead + len(line)] = line
+        begins, state = np.arange(lanes) * LANE, np.zeros(lanes, np.int64)
+        places, states = [], []
+        for k in range(lead + LANE):
+            state = self.step(state, padded[begins + k])
+            if k >= lead:
+                found = np.where(self.length[state] > 0, state, self.shorter[state])
+                hit = np.flatnonzero(found)
+                places.append(begins[hit] + k - lead)
+                states.append(found[hit])
+        places, states = np.concatenate(places), np.concatenate(states)
+        order = np.argsort(places)
+        return places[order], states[order]
+
+
+def _edge(state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    return state.astype(np.uint64) << np.uint64(32) | letter.astype(np.uint64)
 
 
 class Matcher:
-    """Finds the windows of a block of items, given as (item id, text)."""
-
-    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for name, text in items:
-            for w in windows(text, size):
-                owners[w].add(name)
-        self.automaton = ahocorasick.Automaton()
-        for w, names in owners.items():
-            self.automaton.add_word(f" {w.decode()} ", (w.count(b" ") + 1, names))
-        if owners:
-            self.automaton.make_automaton()
-
-    def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        """Runs of hit words as [first, past the last], and the items whose windows occur."""
-        runs: list[list[int]] = []
-        found: set[str] = set()
-        if not words or not len(self.automaton):
-            return runs, found
-        line = f" {b' '.join(words).decode('utf-8', 'replace')} "
-        seen, place = 0, 0
-        for end, (n, names) in self.automaton.iter(line):
-            seen += line.count(" ", place, end)  # spaces before the match's last one: words up to and with its last word
-            place = end
-            first = seen - n
+    """Finds the windows of a block of items, given as (item id, words)."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        rows, names = [np.zeros((0, size), np.int64)], []
+        for name, words in items:
+            numbers = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)
+            if len(numbers):
+                short = np.pad(numbers, (0, max(0, size - len(numbers))))
+                rows.append(np.lib.stride_tricks.sliding_window_view(short, size))
+                names += [name] * len(rows[-1])
+        self.automaton = Automaton(np.concatenate(rows))
+        self.owners: dict[int, set[str]] = defaultdict(set)
+        for state, name in zip(self.automaton.ends.tolist(), names, strict=True):
+            self.owners[state].add(name)
+
+    def hits(self, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
+        """For each text's words: runs of hit words as [first, past the last], in order, and the items whose windows
+        occur."""
+        out: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in texts]
+        if not self.owners:
+            return out
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        line, get = np.zeros(int((sizes + 1).sum()), np.int64), self.number.get
+        for words, a, n in zip(texts, starts.tolist(), sizes.tolist(), strict=True):
+            line[a : a + n] = np.fromiter(map(get, words, repeat(0)), np.int64, n)
+        places, states = self.automaton.scan(line)
+        text = np.searchsorted(starts, places, side="right") - 1
+        ends = places - starts[text] + 1
+        for i, state, end in zip(text.tolist(), states.tolist(), ends.tolist(), strict=True):
+            runs, found = out[i]
+            first = end - int(self.automaton.length[state])
             if runs and first <= runs[-1][1]:
                 while len(runs) > 1 and first <= runs[-2][1]:
                     runs.pop()
-                runs[-1] = [min(first, runs[-1][0]), seen]
+                runs[-1] = [min(first, runs[-1][0]), end]
             else:
-                runs.append([first, seen])
-            found |= names
-        return runs, found
+                runs.append([first, end])
+            while state:
+                found |= self.owners[state]
+                state = int(self.automaton.shorter[state])
+        return out
 
 
 def _offsets(text: bytes, runs: list[list[int]]) -> list[dict[str, int]]:
     """Runs of words as code points of the original text, end exclusive."""
     places = [m.span() for m in WORD.finditer(text.lower())]
-    return [{"start": code_point(text, places[a][0]), "end": code_point(text, places[b - 1][1])} for a, b in runs]
+    at = code_points(text, [x for a, b in runs for x in (places[a][0], places[b - 1][1])])
+    return [{"start": a, "end": b} for a, b in zip(at[::2], at[1::2], strict=True)]
 
 
 def joined(runs: list[list[int]]) -> list[list[int]]:
@@ -96,8 +179,8 @@ def joined(runs: list[list[int]]) -> list[list[int]]:
 def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = WINDOW, prefix: str = "") -> DataFrame:
     """``df``'s kept columns with n_words, n_hit, items (sorted ids as text) and spans (hit runs, in code points)."""
     keep = df.columns if keep is None else keep
-    known = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    total = known.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    known = _pieces(benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct(), size)
+    total = known.agg(F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()[0]
     n = 1 + total // BLOCK_BYTES
     if n > 1:
         return _scan_blocks(df, checkpointed(known), n, text, keep, size, prefix)
@@ -105,11 +188,10 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str
 
     def run(texts):
         out: dict[str, list] = {k: [] for k in FIELDS}
-        for text in texts:
-            words = alnum_words(text or b"")
-            runs, found = matcher().hits(words)
+        words = [alnum_words(t or b"") for t in texts]
+        for t, own, (runs, found) in zip(texts, words, matcher().hits(words), strict=True):
             runs = joined(runs)
-            values = len(words), _offsets(text, runs) if runs else [], sorted(found), sum(b - a for a, b in runs)
+            values = len(own), _offsets(t, runs) if runs else [], sorted(found), sum(b - a for a, b in runs)
             for name, value in zip(FIELDS, values, strict=True):
                 out[name].append(value)
         return out
@@ -117,8 +199,26 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str
     return add_columns(df, text, run, FIELDS, keep, prefix)
 
 
-def _matcher(items: DataFrame, size: int):
-    return shared(items.sparkSession, ([(r.i, r.t.encode()) for r in items.collect()], size), lambda x: Matcher(*x))
+def _pieces(items: DataFrame, size: int) -> DataFrame:
+    """(i, w): the items' words in pieces of CHUNK words, each with the ``size`` - 1 words behind it, so that every window
+    of an item is in one piece."""
+
+    def cut(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "t"):
+                names, pieces = [], []
+                for name, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    words = alnum_words(text)
+                    for a in range(0, max(1, len(words) - size + 1), CHUNK):
+                        names.append(name)
+                        pieces.append(b" ".join(words[a : a + CHUNK + size - 1]))
+                yield {"i": names, "w": pa.array(pieces, pa.binary())}
+
+    return emit(items, cut, "i string, w binary")
+
+
+def _matcher(pieces: DataFrame, size: int):
+    return shared(pieces.sparkSession, ([(r.i, bytes(r.w).split()) for r in pieces.collect()], size), lambda x: Matcher(*x))
 
 
 def _scan_blocks(df: DataFrame, known: DataFrame, n: int, text: str, keep: list[str], size: int, prefix: str) -> DataFrame:
@@ -127,17 +227,16 @@ def _scan_blocks(df: DataFrame, known: DataFrame, n: int, text: str, keep: list[
     keep = [c for c in keep if c not in fields]
     own = free_prefix([*df.columns, *fields])
     row, runs, items = f"{own}row", f"{own}runs", f"{own}items"
-    rows = checkpointed(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.monotonically_increasing_id().alias(row)))
+    rows = checkpointed(df.select(*map(quoted, dict.fromkeys([*keep, text])), F.monotonically_increasing_id().alias(row)))
     hits = None
     for block in range(n):
-        matcher = _matcher(known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block), size)
+        matcher = _matcher(known.where(F.pmod(F.xxhash64("i", "w"), F.lit(n)) == block), size)
 
         def run(texts, matcher=matcher):
             out: dict[str, list] = {k: [] for k in HITS}
-            for text in texts:
-                found, names = matcher().hits(alnum_words(text or b""))
+            for t, (found, names) in zip(texts, matcher().hits([alnum_words(t or b"") for t in texts]), strict=True):
                 found = joined(found)
-                at = _offsets(text, found) if found else []
+                at = _offsets(t, found) if found else []
                 out["runs"].append([{"first": a, "last": b, **o} for (a, b), o in zip(found, at, strict=True)])
                 out["items"].append(sorted(names))
             return out
@@ -153,7 +252,7 @@ def _scan_blocks(df: DataFrame, known: DataFrame, n: int, text: str, keep: list[
         "items": F.coalesce(items, F.array().cast(FIELDS["items"])),
         "n_hit": F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"]), F.lit(0)),
     }
-    return whole.select(*[F.col(f"`{c}`") for c in keep], *[new[name].alias(prefix + name) for name in FIELDS])
+    return whole.select(*map(quoted, keep), *[new[name].alias(prefix + name) for name in FIELDS])
 
 
 def _joined_runs(runs: str):
@@ -185,4 +284,4 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without a benchmark window."""
     own = free_prefix(docs.columns)
     found = scan(docs, read_table(spark, sf_dir, "benchmark"), prefix=own)
-    return found.where(F.col(f"{own}n_hit") == 0).select(*docs.columns)
+    return found.where(F.col(f"{own}n_hit") == 0).select(*map(quoted, docs.columns))

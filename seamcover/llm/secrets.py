@@ -6,9 +6,13 @@ evaluated by intersecting and uniting those postings, and only the texts left ar
 A rule without mandatory trigrams scans every text.
 
 Spans are found per rule, leftmost and without overlap; a match that is too short is dropped after it was found. Offsets
-are code points, the end exclusive. Base rules: ``assign``, ``access``, ``hex``; all others come after them.
+are code points, the end exclusive. Base rules: ``assign``, ``access``, ``hex``; all others come after them. Where a rule
+begins with a long run of characters, its ``anchor`` behind that run is looked for and the run is read backwards from it,
+so that a text takes time in proportion to its length whatever it holds.
 
-Edge cases: a null text is an empty one and has no span. Repeated rows are scanned alike. An empty table gives no rows.
+Edge cases: a null text is an empty one and has no span. Repeated rows are scanned alike. Very long texts are scanned
+whole. Columns that are kept stay as they are, but one named ``spans``, which the result replaces (the pipeline's stage
+keeps it). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import CONTINUATION, add_columns, code_point, free_prefix, read_table, shared
+from seamcover.llm.common import CONTINUATION, add_columns, code_points, free_prefix, quoted, read_table, shared
 
 #: Character classes of up to so many characters are spelled out in a query.
 WIDE = 8
@@ -34,7 +38,8 @@ FIELDS = {"spans": "array<struct<kind:string,start:long,end:long>>"}
 
 @dataclass(frozen=True)
 class Rule:
-    """group: the part whose length counts; least: characters it needs."""
+    """group: the part whose length counts; least: characters it needs. A pattern of the form ``head run* anchor ...``
+    may name these three: the anchor's bytes, the run's characters, none of them the anchor's first, and the head."""
 
     kind: str
     pattern: bytes
@@ -42,8 +47,15 @@ class Rule:
     least: int = 1
     flags: int = 0
     base: bool = False
+    anchor: bytes = b""
+    run: bytes = b""
+    head: bytes = b""
 
 
+#: Characters of tokens and of the names of protocols.
+NAME = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+SCHEME = b"abcdefghijklmnopqrstuvwxyz0123456789+.-"
+
 #: The base kinds and published formats of credentials.
 RULES = (
     Rule("assign", rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, re.IGNORECASE, True),
@@ -53,9 +65,9 @@ RULES = (
     Rule("github", rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", rb"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", anchor=b".eyJ", run=NAME, head=rb"eyJ[A-Za-z0-9_-]"),
     Rule("stripe", rb"[sr]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_password", rb"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("url_password", rb"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@", anchor=b"://", run=SCHEME, head=rb"[a-z]"),
 )
 
 
@@ -190,14 +202,40 @@ class Scanner:
         out: list[list[tuple]] = [[] for _ in texts]
         for order, (rule, regex, query) in enumerate(self.rules):
             for i in self.candidates(query, postings, len(texts)).tolist():
-                for m in _long_runs(texts[i], rule, regex) if query.empty() else regex.finditer(texts[i]):
+                for m in matches(texts[i], rule, regex, query):
                     if len(m.group(rule.group).translate(None, CONTINUATION)) >= rule.least:
                         out[i].append((m.start(), order, m.end(), rule.kind, rule.base))
         return [[(a, b, kind, base) for a, _, b, kind, base in sorted(found)] for found in out]
 
     def __call__(self, texts: list[bytes | None]) -> dict[str, list]:
         whole = [t or b"" for t in texts]
-        return {"spans": [[{"kind": k, "start": code_point(t, a), "end": code_point(t, b)} for a, b, k, _ in s] for t, s in zip(whole, self.spans(whole), strict=True)]}
+        out = []
+        for t, spans in zip(whole, self.spans(whole), strict=True):
+            places = code_points(t, [x for a, b, *_ in spans for x in (a, b)])
+            out.append([{"kind": s[2], "start": a, "end": b} for s, a, b in zip(spans, places[::2], places[1::2], strict=True)])
+        return {"spans": out}
+
+
+def matches(text: bytes, rule: Rule, regex: re.Pattern, query: Query):
+    """All matches of a rule, leftmost and without overlap."""
+    if rule.anchor:
+        return _anchored(text, rule, regex)
+    return _long_runs(text, rule, regex) if query.empty() else regex.finditer(text)
+
+
+def _anchored(text: bytes, rule: Rule, regex: re.Pattern):
+    """The same by the anchors. The run before an anchor ends where the text between it and the last one has another
+    character; if the run's first head begins no match, no other one does, as what follows the anchor is the same."""
+    head, low = re.compile(rule.head), 0
+    at = text.find(rule.anchor)
+    while at >= 0:
+        run = low + len(text[low:at].rstrip(rule.run))
+        first = head.search(text, run, at)
+        m = regex.match(text, first.start()) if first else None
+        if m:
+            yield m
+        low = m.end() if m else at + 1
+        at = text.find(rule.anchor, max(low, at + 1))
 
 
 def _long_runs(text: bytes, rule: Rule, regex: re.Pattern):
@@ -250,7 +288,7 @@ def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     changes = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
         changes["n_chars"] = F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return clean.withColumns(changes).select(*docs.columns)
+    return clean.withColumns(changes).select(*map(quoted, docs.columns))
 
 
 def digest(line: str) -> str:
