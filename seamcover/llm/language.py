@@ -9,7 +9,8 @@ Below order 0 every byte has 1/256. The language with the shortest code wins.
 Texts are compared after A-Z is lower-cased and runs of ASCII bytes other than letters have become one space.
 
 Edge cases: a null text, a text without a letter, or a model that learned nothing gives ``und``, score 0 and null
-bits_per_byte. Ties go to the first language by name. Repeated rows are predicted alike. An empty table gives no rows.
+bits_per_byte. Ties go to the first language by name. Repeated rows are predicted alike, very long texts whole. Kept
+columns of the results' names are replaced (the pipeline's stage keeps them). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamcover.llm.common import GramCache, add_columns, emit, fold, free_prefix, merged, padded, read_table, shared, slices
+from seamcover.llm.common import GramCache, add_columns, emit, fold, free_prefix, merged, padded, quoted, read_table, shared, slices
 
 ORDER = 4
 #: Of each language the sample takes so many texts and so many bytes of text at most, by the hash of the id; texts of
 #: over 1 / LONG_SHARE of those bytes come behind all others, so that no single one uses the sample up.
 SAMPLE_DOCS = 1_500
 SAMPLE_BYTES = 6 << 20
+#: Languages that are learned, those of the most rows, and bytes of the samples of all of them together.
+LANGUAGES = 256
+ALL_BYTES = 48 << 20
 LONG_SHARE = 32
 #: Longest code of an accepted text, in bits a byte: what the bytes themselves take.
 REJECT_BITS = 8.0
@@ -99,27 +103,31 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     """A model of the labelled rows; rows with a null label or text teach nothing.
 
     The sample of a language holds its rows of the smallest hashes of the key, long texts last, up to ``sample_docs``
-    rows and ``sample_bytes`` bytes, but one row at least. So the grams that reach the driver are bounded by
-    languages * sample_bytes, or a language's first text where that is longer.
+    rows and ``sample_bytes`` bytes (or its share of ALL_BYTES), but one row at least. So the grams that reach the driver
+    are bounded by ALL_BYTES, or the first texts where these are longer. Rows are chosen by hashes and lengths alone;
+    the texts come to them by a join.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().collect()  # a row a language
+    rows = labelled.select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(key).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sample_bytes = min(sample_bytes, ALL_BYTES // max(1, len(sizes)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.0 if r["count"] < 4 * sample_docs else 1.3 * sample_docs / r["count"])]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
-    by_hash = Window.partitionBy("lang").orderBy(F.octet_length("text") > sample_bytes // LONG_SHARE, "h", "text")
-    sample = (
-        near.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs)
-        .withColumn("so_far", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
-        .where((F.col("so_far") <= sample_bytes) | (F.col("rank") == 1)).select("lang", "text")
-    )
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30)).withColumn("t", F.xxhash64("text"))
+    by_hash = Window.partitionBy("lang").orderBy(F.col("size") > sample_bytes // LONG_SHARE, "h", "t")
+    chosen = (
+        near.select("lang", "h", "t", F.octet_length("text").alias("size")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample_docs)
+        .withColumn("so_far", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("so_far") <= sample_bytes) | (F.col("rank") == 1)).groupBy("lang", "h", "t").agg(F.count("*").alias("n"))
+    )
+    # bounded: sample_docs rows of a language
+    sample = near.join(F.broadcast(chosen), ["lang", "h", "t"]).dropDuplicates(["lang", "h", "t"]).select("lang", "text", "n")
 
     def count(batches):
         seen: dict[str, tuple[list, list]] = {}
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                names = part.column(0).to_pylist()
+                names, times = part.column(0).to_pylist(), part.column(2).to_pylist()
                 for name in set(names):
-                    own = [normalised(t) + b" " for n, t in zip(names, texts, strict=True) if n == name]
+                    own = [x for n, t, k in zip(names, texts, times, strict=True) if n == name for x in [normalised(t) + b" "] * k]
                     grams, _, counts = padded(own, order, b" ")
                     u, c = np.unique(grams[counts], return_counts=True)
                     g, k = seen.get(name, ([], []))
@@ -185,4 +193,4 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is known; ``und`` and texts coded in over REJECT_BITS bits a byte go."""
     model = fit(training_rows(docs))
     own = free_prefix(docs.columns)
-    return predict(docs, model, prefix=own).where(accepted(own)).select(*docs.columns)
+    return predict(docs, model, prefix=own).where(accepted(own)).select(*map(quoted, docs.columns))

@@ -8,14 +8,15 @@ has an odd product with v. The codes of any ``radius`` bits lie in a subspace of
 v of the 2**(radius + 1) - 1 masks is orthogonal to all of them: it hides every differing bit, and the two
 fingerprints agree under it. Every pair within the radius therefore meets in some table; none is missed.
 
-Only distinct fingerprints are searched. A table's bucket is compared in blocks: of BLOCK members or fewer in one list;
-a larger one is cut by hash into parts, and each pair of parts is one list, so no task gets more than about two parts.
-A list yields a spanning forest of its links, found by growing each component against the members not yet reached, so
-at most one edge a member leaves it, never all pairs. Components come from alternating star contractions.
+Only distinct fingerprints are searched. A table's bucket of BLOCK members or fewer is one list. The members of a larger
+one differ only in the bits that its mask hides, so they are dealt again by masks that cover those bits in the same way,
+and so on, until the hidden bits can't tell more than BLOCK members apart: the work grows with the members, never with
+their pairs. A list yields a spanning forest of its links, found by growing each component against the members not yet
+reached, so at most one edge a member leaves it. Components come from alternating star contractions.
 
 Edge cases: a null or blank text has fingerprint zero, and is linked like any other. Rows with a null id get the
-smallest id of their group too, null if no row of it has an id. Repeated ids are kept as rows. An empty table gives
-no rows. Extra columns of the input are not looked at.
+smallest id of their group too, null if no row of it has an id. Repeated ids are kept as rows; very long texts are read
+whole. An empty table gives no rows. Extra columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamcover.functions.graph import connected_components
-from seamcover.llm.common import add_columns, checkpointed, emit, read_table, space_words
+from seamcover.llm.common import add_columns, checkpointed, emit, free_prefix, quoted, read_table, space_words
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: Members of a bucket that are compared in one list.
 BLOCK = 1024
+#: Primitive polynomials of the fields of 2**width elements.
+GENERATORS = {2: 0b111, 3: 0b1011, 4: 0b10011, 5: 0b100101, 6: 0b1000011, 7: 0b10000011, 8: 0b100011101}
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -88,17 +92,46 @@ def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that keep the bits of ``mask`` and cover the others: any ``radius`` of these are hidden by one at least.
+
+    The codes of the bits are the powers of a generator of the field of 2**(radius + 1) elements. Of radius + 1 of them
+    in a row at least one is odd with any v, so each mask keeps a bit more of every radius + 1 hidden ones.
+    """
+    width, hidden = radius + 1, [i for i in range(64) if not mask >> i & 1]
+    codes, code = [], 1
+    for _ in hidden:
+        codes.append(code)
+        code <<= 1
+        if code >> width:
+            code ^= GENERATORS[width]
+    out = []
+    for v in range(1, 1 << width):
+        m = mask & (1 << 64) - 1 | sum(1 << i for i, c in zip(hidden, codes, strict=True) if (c & v).bit_count() % 2)
+        out.append(m - (1 << 64) if m >> 63 else m)
+    return out
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Distinct edges (u, v), u < v, that connect just those of the distinct fingerprints ``fp`` within the radius."""
-    tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])
-    met = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    crowd = met.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    cut = met.join(crowd, ["t", "key"]).select("t", "key", "fp", parts.alias("parts"), own.alias("own"))
-    cut = cut.select("t", "key", "fp", "parts", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lists = cut.groupBy("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("fp").alias("members"))
-
+    block = max(block, 1 << radius + 1)
+    dealt = distinct.select("fp", F.explode(F.array(*map(F.lit, covering_masks(radius)))).alias("mask"))
+    edges = []
+    while True:
+        met = dealt.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        crowd = checkpointed(met.groupBy("mask", "key").agg(F.count("*").alias("m")).where("m > 1"))
+        lists = met.join(crowd.where(F.col("m") <= block).drop("m"), ["mask", "key"], "left_semi").groupBy("mask", "key").agg(F.collect_list("fp").alias("members"))
+        edges.append(_list_links(lists.select("members"), radius))
+        large = crowd.where(F.col("m") > block)
+        masks = [r[0] for r in large.select("mask").distinct().collect()]
+        if not masks:
+            break
+        finer = distinct.sparkSession.createDataFrame([(m, f) for m in masks for f in finer_masks(m, radius)], "mask long, finer long")
+        dealt = met.join(large.drop("m"), ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).distinct()
+    return reduce(DataFrame.union, edges).distinct()
+
+
+def _list_links(lists: DataFrame, radius: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             column = batch.column(0)
@@ -114,19 +147,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
             e = np.concatenate(edges).view(np.int64)
             yield {"u": e.min(1), "v": e.max(1)}
 
-    return emit(lists.where(F.size("members") > 1).select("members"), run, "u long, v long").distinct()
+    return emit(lists, run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """For each row: ``key``, ``fp`` and ``component_id``, the smallest key of all rows whose fingerprints are connected."""
-    rows = checkpointed(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), keep=["key"]))
+def _grouped(df: DataFrame, key: str, text: str, radius: int) -> DataFrame:
+    """Rows (key, h, fp, root, component_id): h is a hash of the text, root the smallest fingerprint of the component."""
+    own = df.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
+    rows = checkpointed(fingerprints(own, keep=["key", "h"]))
     groups = checkpointed(rows.groupBy("fp").agg(F.min("key").alias("first")))
     components = connected_components(links(groups.select("fp"), radius))
     least = groups.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     ids = checkpointed(least.select("fp", "root", "first"))
     joined = ids.where("root = fp").select("root").join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    named = ids.select("fp", "root").join(joined, "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select(F.col("key").alias(key), "fp", "component_id")
+    named = ids.select("fp", "root").join(joined, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp", "left")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """For each row: ``key``, ``fp`` and ``component_id``, the smallest key of all rows whose fingerprints are connected."""
+    return _grouped(df, key, text, radius).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +174,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Rows without an id stay.
+    """One document of each group of near copies: that of the smallest id; of several with that id, or of those without
+    one where no document of the group has an id, the one of the smallest hash of the text.
 
-    Of rows that repeat the id of a kept document one stays; its columns are the greatest by order.
+    Documents are told apart by id and hash; of rows equal in both one stays, the greatest as JSON.
     """
-    found = checkpointed(near_duplicates(docs.select("doc_id", "text")))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    out = [single, docs.where("doc_id IS NULL")] if docs.schema["doc_id"].nullable else [single]
-    if not kept.where("n > 1").isEmpty():
-        repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi")
-        out.append(repeated.groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*"))
-    return reduce(DataFrame.unionByName, out)
+    found = _grouped(docs, "doc_id", "text", RADIUS).groupBy("root", "key", "h").agg(F.count("*").alias("n"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h", "n")).alias("k"))
+    own = free_prefix(docs.columns)
+    key, h = f"{own}key", f"{own}h"
+    kept = checkpointed(kept.select(F.col("k.key").alias(key), F.col("k.h").alias(h), F.col("k.n").alias("n")))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h))
+    single = docs.join(kept.where("n = 1"), same, "left_semi").select(*map(quoted, docs.columns))
+    if kept.where("n > 1").isEmpty():
+        return single
+    whole = F.struct(*map(quoted, docs.columns))
+    repeated = docs.join(kept.where("n > 1"), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(h)).agg(F.max_by(whole, F.to_json(whole)).alias("r"))
+    return single.unionByName(repeated.select("r.*"))
