@@ -2,21 +2,25 @@
 
 A text is marked as the library does it (one space put in front, each space written as U+2581) and cut into words
 where no piece can cross: before a mark that follows another character, around a line feed unless a longer piece
-holds one, and behind a letter before such characters as no piece has there. The distinct words of a block of texts that aren't known yet are sorted; visiting them in that order walks their
-trie depth-first, and the lattice columns of the prefix shared with the word before are kept as they are. Each column
-holds its best score and the last piece of that path; a new character adds one column, from the pieces that end in it.
+holds one, and behind a letter before such characters as no piece has there. The distinct words of a block of texts that
+aren't known yet are sorted; visiting them in that order walks their trie depth-first, and the lattice columns of the
+prefix shared with the word before are kept as they are. Each column holds its best score and the last piece of that
+path; a new character adds one column, from the pieces that end in it.
 
 Two kinds of model, told by ``kind``. ``unigram``: the score is the sum of the pieces' log probabilities. ``bpe``: the
 arc from a path's last piece to the next one has weight 0 if merging the two pieces' characters by rank yields just
 these two, else minus infinity; only one path to a column survives, and it is the merge result. (Adding scores of a
-merge-ranked vocabulary would not give that model's ids.) Runs of marks, whose pieces share one rank, break ties by
-position, which no such arc can tell; words that begin with three or more marks are merged directly.
+merge-ranked vocabulary would not give that model's ids.) The pieces of a run of marks share one rank and break ties by
+position, which no such arc can tell; so the columns over a word's leading marks hold the merge of just these marks, one
+for each length of a run, and the arcs go on from there.
 
 Characters without a piece become their UTF-8 bytes' pieces. Control pieces are never produced, and their names in a
 text are ordinary text. Decoding joins the pieces, bytes included, and takes the mark in front away: texts come back
 exactly, but that U+2581 itself comes back as a space, as in the library.
 
-Edge cases: a null text gives null ids, an empty one no ids. An empty table gives no rows.
+Edge cases: a null text gives null ids, an empty one no ids. Repeated rows are encoded alike. A word of any length takes
+memory in proportion to it, with or without spaces. Kept columns of the results' names are replaced. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -71,6 +75,8 @@ class Codec:
         self.symbols: dict[int, str] = {i: p for p, i in self.id.items()}
         self.tails: dict[str, int] = {p[i:]: -1 for p in self.id for i in range(1, len(p))} | self.id
         self.packed = [array("i", [i]).tobytes() for i in range(n)]
+        self.lead = max((len(p) - len(p.lstrip(MARK)) for p in self.id if p.lstrip(MARK)), default=0)
+        self.runs: list[tuple[int, bytes]] = [(0, b"")]
 
     # the symbols of a path: piece ids, and characters without a piece as -1 - code point
 
@@ -113,6 +119,16 @@ class Codec:
             offer(i)
         return [ids.get(p, -1 - ord(p[0])) for p in parts if p]
 
+    def run(self, n: int) -> tuple[int, bytes]:
+        """Last piece and ids of a run of ``n`` marks."""
+        while len(self.runs) <= n:
+            self.runs.append(self._run(len(self.runs)))
+        return self.runs[n]
+
+    def _run(self, n: int) -> tuple[int, bytes]:
+        ids = self.merge(MARK * n)
+        return ids[-1], b"".join([self.packed[k] if k >= 0 else self._fallback(chr(-1 - k)) for k in ids])
+
     def pair(self, a: int, b: int) -> bool:
         """Whether the characters of two symbols merge to just these two."""
         if a < 0 or b < 0:
@@ -133,9 +149,6 @@ class Codec:
         total: list[float] = [0.0]  # and its score
         previous = ""
         for word in words:
-            if bpe and word.startswith(MARK * 3):
-                out[word] = b"".join([packed[k] if k >= 0 else self._fallback(chr(-1 - k)) for k in self.merge(word)])
-                continue
             if len(word) > KEPT_CHARS:
                 out[word] = self._encode_long(word)
                 continue
@@ -145,7 +158,13 @@ class Codec:
                     break
                 common += 1
             del last[common + 1 :], path[common + 1 :], total[common + 1 :]
-            for i in range(common + 1, len(word) + 1):
+            marks = len(word) - len(word.lstrip(MARK)) if bpe else 0
+            for i in range(common + 1, marks + 1):
+                symbol, ids = self.run(i)
+                last.append(symbol)
+                path.append(ids)
+                total.append(0.0)
+            for i in range(max(common, marks) + 1, len(word) + 1):
                 best, begin, sum_ = -1, i - 1, -1e300
                 for j in range(i - 1, max(-1, i - longest), -1):
                     k = tails(word[j:i])
@@ -173,8 +192,11 @@ class Codec:
     def _encode_long(self, word: str) -> bytes:
         """The same for one word, with a symbol and a back pointer a column, followed once at the end."""
         longest, score, bpe, tails, valid = self.longest + 1, self.score, self.kind == "bpe", self.tails.get, self.valid.get
-        last, back, total = array("i", [0]), array("i", [0]), array("d", [0.0])
-        for i in range(1, len(word) + 1):
+        marks = len(word) - len(word.lstrip(MARK)) if bpe else 0
+        last, back, total = (array(code, [0]) * (marks + 1) for code in "iid")
+        for i in range(max(1, marks - self.lead), marks + 1):  # no other column of the run has a piece that leaves it
+            last[i] = self._run(i)[0]
+        for i in range(marks + 1, len(word) + 1):
             best, begin, sum_ = -1, i - 1, -1e300
             for j in range(i - 1, max(-1, i - longest), -1):
                 k = tails(word[j:i])
@@ -192,10 +214,10 @@ class Codec:
             back.append(begin)
             total.append(sum_ if best >= 0 else total[i - 1] - 1e6)
         out, i = [], len(word)
-        while i:
+        while i > marks:
             out.append(self.packed[last[i]] if last[i] >= 0 else self._fallback(word[i - 1]))
             i = back[i]
-        return b"".join(reversed(out))
+        return (self._run(i)[1] if i else b"") + b"".join(reversed(out))
 
     def _fallback(self, char: str) -> bytes:
         return array("i", [self.byte[b] for b in char.encode("utf-8", "replace")]).tobytes()
