@@ -1,50 +1,33 @@
 """Queries of the coverage operators by name, and SQL that gives the same rows.
 
 All of them run over the driver's tables: the events are a classified raster, its horizontal runs a coverage of
-rectangles with missing junctions, its regions a coverage without them. Rasters and regions are kept at a checkpoint
-for each input path, as several queries use them.
+rectangles with missing junctions, its regions a coverage without them. Each query makes what it needs from the tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamcover.functions import geometry, wkb
 from seamcover.functions.graph import cut_lineage
+from seamcover.functions.lines import Lines
 from seamcover.functions.params import Smoothing
 from seamcover.operators import metrics, raster, rebuild, smoothing, topology
 from seamcover.plans import coverage
 from seamcover.sources import tables
 
-_KEPT: dict[tuple[str, str, str], tuple] = {}
-
-
-def _kept(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], tuple]) -> tuple:
-    key = (spark.sparkContext.applicationId, sf_dir, what)
-    if key not in _KEPT:
-        while len(_KEPT) > 8:
-            _KEPT.pop(next(iter(_KEPT)))
-        _KEPT[key] = build()
-    return _KEPT[key]
-
 
 def _raster(spark, sf_dir):
-    def build():
-        pixels, meta = tables.event_raster(spark, sf_dir)
-        return cut_lineage(pixels), meta
-
-    return _kept(spark, sf_dir, "raster", build)
+    return tables.event_raster(spark, sf_dir)
 
 
 def _regions(spark, sf_dir):
-    def build():
-        pixels, meta = _raster(spark, sf_dir)
-        return cut_lineage(raster.regions(pixels, meta.width)), meta
-
-    return _kept(spark, sf_dir, "regions", build)
+    pixels, meta = _raster(spark, sf_dir)
+    return cut_lineage(raster.regions(pixels, meta.width)), meta
 
 
 def _rectangles(spark, sf_dir):
@@ -178,7 +161,8 @@ def c16_canonical_closed(spark, sf_dir):
 
 
 def f1_ring_area(spark, sf_dir):
-    return topology.ring_areas(raster.region_edges(_regions(spark, sf_dir)[0]))
+    areas = topology.ring_areas(raster.region_edges(_regions(spark, sf_dir)[0]))
+    return areas.withColumn("area2", F.col("area2").cast("long"))
 
 
 def e13_adjacency(spark, sf_dir):
@@ -237,15 +221,16 @@ def k4_chaikin(spark, sf_dir):
     v = _rectangles(spark, sf_dir)
     lines = v.groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("q"))
     lines = lines.select("poly_id", F.transform("q", lambda s: F.struct(s.x.cast("double").alias("x"), s.y.cast("double").alias("y"))).alias("pts"), F.lit(False).alias("fixed"))
-    out = lines.mapInPandas(_cutter(p), "poly_id long, pts array<struct<x:double,y:double>>")
+    out = lines.mapInArrow(_cutter(p), "poly_id long, pts array<struct<x:double,y:double>>")
     each = out.select("poly_id", F.posexplode("pts").alias("i", "q"))
     return each.select("poly_id", "i", (F.col("q.x") * 16).cast("long").alias("x16"), (F.col("q.y") * 16).cast("long").alias("y16"))
 
 
 def _cutter(p: Smoothing):
-    def run(frames):
-        for f in frames:
-            yield f.assign(pts=[smoothing.as_rows(smoothing.smooth(smoothing.xy(q), p)) for q in f["pts"]])[["poly_id", "pts"]]
+    def run(batches):
+        for batch in batches:
+            out = smoothing.smooth_lines(Lines.from_arrow(batch.column("pts")), p)
+            yield pa.RecordBatch.from_arrays([batch.column("poly_id"), out.to_arrow()], names=["poly_id", "pts"])
 
     return run
 
@@ -259,6 +244,17 @@ def _smoothed(algorithm: str):
     return query
 
 
+def smoothed_points(p: Smoothing, value):
+    """Points of the regions' smoothed arcs, on pixels of 10 m; ``value`` makes a whole number of a coordinate."""
+
+    def query(spark, sf_dir):
+        arcs = coverage.scaled(_region_arcs(spark, sf_dir).withColumn("key", F.struct(*arc_key())), 10.0, 0.0, 0.0)
+        out = smoothing.smooth_arcs(arcs, p).select("key.*", "state", F.posexplode("smooth").alias("i", "q"))
+        return out.select("lpoly", "rpoly", "sx", "sy", "state", "i", value(F.col("q.x")).alias("x"), value(F.col("q.y")).alias("y"))
+
+    return query
+
+
 def j2_rebuild(spark, sf_dir):
     """Polygons rebuilt from unsmoothed arcs: areas and rings of the regions."""
     arcs = _region_arcs(spark, sf_dir)
@@ -275,9 +271,20 @@ def j6_repair(spark, sf_dir):
     return rebuild.repair(smooth, rebuild.rebuild(smooth), p)[1].select("poly_id", "status", "n_parts", "n_rings")
 
 
+def arc_key():
+    """What an arc of the regions is known by in SQL: its sides and its first point."""
+    first = F.element_at("pts", 1)
+    return [F.col("lpoly"), F.col("rpoly"), first.x.cast("long").alias("sx"), first.y.cast("long").alias("sy")]
+
+
 def d10_simple(spark, sf_dir):
-    check = F.pandas_udf(lambda c: c.map(lambda q: geometry.is_simple(smoothing.xy(q))), "boolean")
-    return _region_arcs(spark, sf_dir).select("arc_id", check("pts").alias("simple"))
+    """Whether the regions' arcs meet themselves."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(geometry.simple(Lines.from_arrow(batch.columns[-1])))], names=[*batch.schema.names[:-1], "simple"])
+
+    return _region_arcs(spark, sf_dir).select(*arc_key(), "pts").mapInArrow(run, "lpoly long, rpoly long, sx long, sy long, simple boolean")
 
 
 def l2_valid(spark, sf_dir):
@@ -285,20 +292,12 @@ def l2_valid(spark, sf_dir):
     return rebuild.rebuild(arcs.withColumn("smooth", F.col("pts"))).select("poly_id", "status", "n_parts", "n_rings")
 
 
-def _polygonization(spark, sf_dir):
-    def build():
-        pixels, meta = _raster(spark, sf_dir)
-        return (coverage.smooth_polygonization(pixels, meta),)
-
-    return _kept(spark, sf_dir, "polygonization", build)[0]
-
-
 def smooth_polygonization(spark, sf_dir):
-    return _polygonization(spark, sf_dir).polygons
+    return coverage.smooth_polygonization(*_raster(spark, sf_dir)).polygons
 
 
 def f5_summary(spark, sf_dir):
-    return _polygonization(spark, sf_dir).summary
+    return coverage.smooth_polygonization(*_raster(spark, sf_dir)).summary
 
 
 def smooth_polygons(spark, sf_dir):

@@ -23,6 +23,65 @@ def accuracy(truth: DataFrame, out: DataFrame) -> DataFrame:
     return per.agg(F.avg("iou").alias("miou"), (F.sum("n_both") / F.sum("n_truth")).alias("oa"))
 
 
+def class_changes(truth: DataFrame, out: DataFrame) -> DataFrame:
+    """(cls, n_in, n_out, n_union, n_xor, change): areas in pixels, that of the symmetric difference, and the change as a
+    share of the area before."""
+    per = iou(truth, out)
+    union = F.col("n_truth") + F.col("n_out") - F.col("n_both")
+    return per.select("cls", F.col("n_truth").alias("n_in"), "n_out", union.alias("n_union"), (union - F.col("n_both")).alias("n_xor"), F.when(F.col("n_truth") > 0, F.col("n_out") / F.col("n_truth") - 1).alias("change"))
+
+
+def change_summary(changes: DataFrame) -> DataFrame:
+    """One row: change of the whole area, and mean, greatest and area-weighted mean of the classes' absolute changes."""
+    size = F.abs("change")
+    return changes.agg(
+        (F.sum("n_out") / F.sum("n_in") - 1).alias("total"), F.avg(size).alias("mean"), F.max(size).alias("greatest"), (F.sum(F.abs(F.col("n_out") - F.col("n_in"))) / F.sum("n_in")).alias("weighted"),
+    )
+
+
+def overlap_and_gap(burnt: DataFrame, frame: DataFrame) -> DataFrame:
+    """One row: n_overlap, how often pixels are covered again, and n_gap, pixels of the frame that no polygon covers."""
+    covers = burnt.groupBy("px", "py").agg(F.count("*").alias("n"))
+    both = frame.select("px", "py", F.lit(True).alias("there")).join(covers, ["px", "py"], "full")
+    return both.agg(F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).cast("long").alias("n_overlap"), F.count_if(F.col("there") & F.col("n").isNull()).alias("n_gap"))
+
+
+def broken(found: DataFrame, area: float, limit: float = 1e-6) -> DataFrame:
+    """Reports (n_invalid, overlap, gap) with ``broken``: an invalid polygon, or over ``limit`` of the area lapped or open."""
+    return found.withColumn("broken", (F.col("n_invalid") > 0) | (F.col("overlap") > limit * area) | (F.col("gap") > limit * area))
+
+
+def sharp_turns(e: DataFrame, degrees: float = 45.0) -> DataFrame:
+    """(poly_id, n_turns, n_sharp, length): turns of ring edges, those of more than ``degrees``, and the rings' length;
+    ``n_sharp / length`` is the share a unit of border."""
+    order = Window.partitionBy("poly_id", "ring").orderBy("seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = e.withColumn("d", F.struct((F.col("x1") - F.col("x0")).cast("double").alias("x"), (F.col("y1") - F.col("y0")).cast("double").alias("y")))
+    d = d.withColumn("n", F.coalesce(F.lead("d").over(order), F.first("d").over(whole)))
+    turn = F.abs(F.degrees(F.atan2(F.col("d.x") * F.col("n.y") - F.col("d.y") * F.col("n.x"), F.col("d.x") * F.col("n.x") + F.col("d.y") * F.col("n.y"))))
+    return d.groupBy("poly_id").agg(F.count("*").alias("n_turns"), F.count_if(turn > degrees).alias("n_sharp"), F.sum(F.hypot("d.x", "d.y")).alias("length"))
+
+
+def fingerprint(e: DataFrame) -> DataFrame:
+    """(poly_id, area, x, y, n_points): what tells one polygon from another whatever its vertices' order: area and
+    centroid, both rounded to four digits, and the number of vertices."""
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    cross = x0 * y1 - x1 * y0
+    sums = e.groupBy("poly_id").agg(F.sum(cross).alias("a"), F.sum((x0 + x1) * cross).alias("mx"), F.sum((y0 + y1) * cross).alias("my"), F.count("*").alias("n_points"))
+    return sums.select("poly_id", F.round(F.col("a") / 2, 4).alias("area"), F.round(F.col("mx") / (3 * F.col("a")), 4).alias("x"), F.round(F.col("my") / (3 * F.col("a")), 4).alias("y"), "n_points")
+
+
+def differences(distances: DataFrame) -> DataFrame:
+    """One row about the distances between two results: n, the share of identical places, median, p95 and greatest."""
+    return distances.agg(F.count("*").alias("n"), F.avg((F.col("distance") == 0).cast("double")).alias("identical"), F.percentile("distance", 0.5).alias("median"), F.percentile("distance", 0.95).alias("p95"), F.max("distance").alias("greatest"))
+
+
+def against_baseline(tune: DataFrame, baseline: DataFrame, group: list[str], score: str) -> DataFrame:
+    """Rows with ``gain``, their score less that of their group's baseline row; baseline: a row a group, a small report."""
+    base = baseline.select(*group, F.col(score).alias("_base"))
+    return tune.join(F.broadcast(base), group).withColumn("gain", F.col(score) - F.col("_base")).drop("_base")
+
+
 def shape(e: DataFrame, bins: int = 36) -> DataFrame:
     """One row about ring edges: n_edges, n_axis (parallel to an axis), n_sharp (turns of 60 degrees or more), entropy of
     the orientations (0 to 1, by length in ``bins`` bins of 180 degrees)."""

@@ -129,9 +129,8 @@ def region_edges(labelled: DataFrame) -> DataFrame:
     x, y = F.col("px"), -F.col("py")
     sides = (("down", x, y - 1, x + 1, y - 1), ("right", x + 1, y - 1, x + 1, y), ("up", x + 1, y, x, y), ("left", x, y, x, y - 1))
     edge = lambda side, *q: F.struct(F.col(side).alias("other"), *[c.cast("long").alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), q, strict=True)])
-    exploded = near.select("region", "cls", F.explode(F.array(*[edge(*s) for s in sides])).alias("e"))
-    border = exploded.where(F.col("e.other").isNull() | (F.col("e.other") != F.col("region")))
-    return border.select((F.col("region") + 1).alias("poly_id"), F.coalesce(F.col("e.other") + 1, F.lit(0)).alias("other"), "e.x0", "e.y0", "e.x1", "e.y1", "cls")
+    border = F.filter(F.array(*[edge(*s) for s in sides]), lambda s: s.other.isNull() | (s.other != F.col("region")))
+    return near.select("region", "cls", F.explode(border).alias("e")).select((F.col("region") + 1).alias("poly_id"), F.coalesce(F.col("e.other") + 1, F.lit(0)).alias("other"), "e.x0", "e.y0", "e.x1", "e.y1", "cls")
 
 
 def sieve(raster: DataFrame, width: int, threshold: int, eight: bool = False) -> DataFrame:

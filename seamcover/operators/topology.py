@@ -331,3 +331,39 @@ def segment_multiplicity(e: DataFrame) -> DataFrame:
     a, b = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
     n = e.groupBy(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).agg(F.count("*").alias("n"))
     return n.groupBy("n").agg(F.count("*").alias("n_segments"))
+
+
+def interior_segments(e: DataFrame, extent: tuple[int, int, int, int], inset: int = 0) -> DataFrame:
+    """(n, n_segments) of the undirected segments with both ends inside the frame, ``inset`` steps or more from it."""
+    x0, y0, x1, y1 = extent
+    inside = lambda c, a, b: (F.col(c) > a + inset) & (F.col(c) < b - inset)
+    return segment_multiplicity(e.where(inside("x0", x0, x1) & inside("x1", x0, x1) & inside("y0", y0, y1) & inside("y1", y0, y1)))
+
+
+def covered_segments(e: DataFrame, cell: int = CELL * SPREAD) -> DataFrame:
+    """Edges that occur once only (poly_id, x0, y0, x1, y1), with ``length`` and ``covered``: how much of it other
+    polygons' edges on the same line cover. A border that is only cut in other places is covered whole.
+
+    length and covered are along x, or along y for vertical edges. Lines are told by slope and intercept, quotients of
+    whole numbers; edges meet in cells of their line.
+    """
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    level = F.when(dx != 0, dy / dx)
+    height = F.when(dx != 0, (dx * F.col("y0") - dy * F.col("x0")) / dx).otherwise(F.col("x0").cast("double"))
+    a = F.when(dx != 0, F.least("x0", "x1")).otherwise(F.least("y0", "y1"))
+    b = F.when(dx != 0, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1"))
+    ends = [F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)]
+    every = e.select("poly_id", "x0", "y0", "x1", "y1", F.coalesce(level, F.lit(float("inf"))).alias("slope"), height.alias("height"), a.alias("a"), b.alias("b"), F.least(*ends).alias("p"), F.greatest(*ends).alias("q"))
+    cells = F.explode(F.sequence(F.floor(F.col("a") / cell), F.floor((F.col("b") - 1) / cell)))
+    once = every.groupBy("p", "q").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    single = every.join(once, ["p", "q"], "left_semi").withColumn("cell", cells)
+    other = every.select(F.col("poly_id").alias("o"), "slope", "height", F.col("a").alias("oa"), F.col("b").alias("ob")).withColumnRenamed("oa", "a").withColumnRenamed("ob", "b")
+    other = other.withColumn("cell", cells).withColumnRenamed("a", "oa").withColumnRenamed("b", "ob")
+    low, high = F.greatest("a", "oa", F.col("cell") * cell), F.least("b", "ob", (F.col("cell") + 1) * cell)
+    met = single.join(other, ["slope", "height", "cell"], "left").withColumn("c", F.when((F.col("o") != F.col("poly_id")) & (high > low), high - low).otherwise(0))
+    return met.groupBy("poly_id", "x0", "y0", "x1", "y1").agg((F.max("b") - F.min("a")).alias("length"), F.sum("c").cast("long").alias("covered"))
+
+
+def in_box(boxes: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """Polygons whose box (min_x, min_y, max_x, max_y) meets another one."""
+    return boxes.where((F.col("max_x") >= x0) & (F.col("min_x") <= x1) & (F.col("max_y") >= y0) & (F.col("min_y") <= y1))

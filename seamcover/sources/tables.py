@@ -143,10 +143,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown vector format {kind!r}")
 
 
-def write_features(df: DataFrame, path: str, multi: bool = False, geometry: str = "wkb") -> None:
-    """Polygons as Parquet, or as GeoJSON lines; without ``multi`` parts are rows of their own, with the attributes."""
+def write_features(df: DataFrame, path: str, multi: bool = False, geometry: str = "wkb", order: list[str] | None = None) -> None:
+    """Polygons as Parquet, or as GeoJSON lines; without ``multi`` parts are rows of their own, with the attributes.
+    order: columns by which the rows are sorted, over all files."""
     kind = os.path.splitext(path)[1].lower()
     out = df if multi else explode_parts(df, geometry)
+    out = out.orderBy(*order) if order else out
     if kind == ".parquet":
         out.write.mode("overwrite").parquet(path)
     elif kind in (".json", ".geojson"):
@@ -184,3 +186,19 @@ def work_folder(output: str) -> str | None:
         return None
     root, kind = os.path.splitext(output)
     return root if kind else None
+
+
+def read_tune(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of tools (dataset, tool, param, seconds, mIoU, OA) from CSV; ``seconds`` is null for a failed run."""
+    rows = spark.read.csv(path, header=True, schema="dataset string, tool string, param string, seconds string, mIoU double, OA double")
+    return rows.withColumn("seconds", F.expr("try_cast(seconds AS double)"))
+
+
+def write_best(best: DataFrame, path: str) -> None:
+    """The best rows as JSON lines, in order."""
+    best.orderBy(*best.columns).coalesce(1).write.mode("overwrite").json(path)
+
+
+def ids_from_json(df: DataFrame, column: str, name: str = "id") -> DataFrame:
+    """A row for each id of a JSON list."""
+    return df.withColumn(name, F.explode(F.from_json(F.col(column), "array<long>")))

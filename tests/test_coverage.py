@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import coverages as fixtures
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from seamcover.functions import params as P
 from seamcover.functions import wkb
 from seamcover.functions.graph import connected_components
 from seamcover.operators import metrics, raster, rebuild, smoothing, topology
-from seamcover.plans import coverage, fixtures
+from seamcover.plans import coverage
 from seamcover.plans.store import StageStore, signature
 from seamcover.sources import tables
 
