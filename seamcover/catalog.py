@@ -91,7 +91,7 @@ def b8_rasterize(spark, sf_dir):
 def b10_border_distance(spark, sf_dir):
     pixels, meta = _raster(spark, sf_dir)
     sieved = raster.sieve(pixels, meta.width, 40)
-    d = raster.border_distance(raster.border_pixels(pixels), raster.border_pixels(sieved), 8)
+    d = raster.nearest_distance(raster.border_pixels(pixels), raster.border_pixels(sieved))
     return d.select("px", "py", F.round(F.col("distance") * F.col("distance")).cast("long").alias("square"))
 
 
@@ -104,7 +104,7 @@ def f15_boundary(spark, sf_dir):
     """Distances of the raster's borders to those of the sieved one, in millionths: mean, p95, greatest, share within 2."""
     pixels, meta = _raster(spark, sf_dir)
     sieved = raster.sieve(pixels, meta.width, 40)
-    found = metrics.boundary(raster.border_distance(raster.border_pixels(pixels), raster.border_pixels(sieved), 8), 2.0)
+    found = metrics.boundary(raster.nearest_distance(raster.border_pixels(pixels), raster.border_pixels(sieved)), 2.0)
     return found.select(*[F.round(F.col(c) * 1000000).cast("long").alias(c) for c in found.columns])
 
 
@@ -236,10 +236,12 @@ def _cutter(p: Smoothing):
 
 
 def _smoothed(algorithm: str):
+    """The regions' arcs, on pixels of 10 m: state and numbers of points before and after."""
+
     def query(spark, sf_dir):
-        arcs = coverage.scaled(_region_arcs(spark, sf_dir), 10.0, 0.0, 0.0)
+        arcs = coverage.scaled(_region_arcs(spark, sf_dir).withColumn("key", F.struct(*arc_key())), 10.0, 0.0, 0.0)
         out = smoothing.smooth_arcs(arcs, Smoothing(algorithm))
-        return out.select("arc_id", "lpoly", "rpoly", "closed", "state", F.size("pts").alias("n_before"), F.size("smooth").alias("n_after"))
+        return out.select("key.*", "closed", "state", F.size("pts").alias("n_before"), F.size("smooth").alias("n_after"))
 
     return query
 
@@ -368,8 +370,8 @@ def _sql(needs: str, select: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS {'MATERIALIZED ' if n not in ('reach', 'chase') else ''}({_CTE[n]})" for n in names) + " " + select
 
 
-# Squares of the border pixels' distances to the sieved raster's borders, up to 64.
-_DISTANCES = "SELECT a.px, a.py, CAST(min((a.px - b.px) ** 2 + (a.py - b.py) ** 2) FILTER ((a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 64) AS BIGINT) square FROM (SELECT a.px, a.py FROM ras a LEFT JOIN ras l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN ras u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) a, (SELECT a.px, a.py FROM sie a LEFT JOIN sie l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN sie u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) b GROUP BY a.px, a.py"
+# Squares of the border pixels' distances to the sieved raster's borders.
+_DISTANCES = "SELECT a.px, a.py, CAST(min((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS BIGINT) square FROM (SELECT a.px, a.py FROM ras a LEFT JOIN ras l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN ras u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) a, (SELECT a.px, a.py FROM sie a LEFT JOIN sie l ON l.px = a.px - 1 AND l.py = a.py LEFT JOIN sie u ON u.px = a.px AND u.py = a.py - 1 WHERE l.cls <> a.cls OR u.cls <> a.cls) b GROUP BY a.px, a.py"
 
 ORACLE_SQL: dict[str, str] = {
     "a14_raster_from_events": _sql("size pix", "SELECT px, py, v FROM pix"),

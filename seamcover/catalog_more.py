@@ -2,7 +2,8 @@
 slanted edges, metrics of two rasters, sources.
 
 The SQL finds arcs by pointer doubling over the regions' border edges, simplifies them by a recursion over spans, and
-smooths them by joins.
+smooths them by joins. ``k7_gaussian`` has no SQL: a square ring has vertices that are equally far off but for rounding,
+and which of them a simplification keeps depends on the order of a sum; ``k7_points`` has it without simplification.
 """
 
 from __future__ import annotations
@@ -205,11 +206,6 @@ def f17_differences(spark, sf_dir):
     return found.select("n", *[_millionths(F.col(c), 0.123).alias(c) for c in ("identical", "median", "p95", "greatest")])
 
 
-def l2_valid_rings(spark, sf_dir):
-    """Polygons rebuilt from unsmoothed arcs: status, parts and rings."""
-    return base.l2_valid(spark, sf_dir)
-
-
 def smooth_polygonization_areas(spark, sf_dir):
     """Polygons of the raster after two corner cuttings: class, status, and area in 512ths of square metres."""
     out = coverage.smooth_polygonization(*base._raster(spark, sf_dir), PLAIN).polygons
@@ -353,11 +349,12 @@ _add("mean_", """SELECT b.h, a.j, b.closed, b.n, sum(v * CASE WHEN NOT b.closed
     JOIN even e ON e.h = b.h AND e.j = CASE WHEN a.j + o < 0 THEN 0 ELSE b.n - 1 END GROUP BY ALL""")
 _add("turned", "SELECT h, closed, j, n, x, y, sum(x * y2 - x2 * y) OVER (PARTITION BY h) a1, avg(x) OVER (PARTITION BY h) mx, avg(y) OVER (PARTITION BY h) my FROM (SELECT *, coalesce(lead(x) OVER q, first_value(x) OVER q) x2, coalesce(lead(y) OVER q, first_value(y) OVER q) y2 FROM mean_ WINDOW q AS (PARTITION BY h ORDER BY j))")
 _add("area0", "SELECT h, sum(x * y2 - x2 * y) a0 FROM (SELECT h, x, y, lead(x) OVER q x2, lead(y) OVER q y2 FROM p0 WINDOW q AS (PARTITION BY h ORDER BY i)) GROUP BY h")
-_add("gauss", """SELECT h, CAST(j AS INTEGER) i, CASE WHEN closed AND a0 * a1 > 0 THEN (x - mx) * sqrt(a0 / a1) + mx ELSE x END x, CASE WHEN closed AND a0 * a1 > 0 THEN (y - my) * sqrt(a0 / a1) + my ELSE y END y, closed FROM (
-    SELECT t.h, j, n, t.closed, a0, a1, mx, my, CASE WHEN NOT t.closed AND j IN (0, n - 1) THEN p.x ELSE t.x END x, CASE WHEN NOT t.closed AND j IN (0, n - 1) THEN p.y ELSE t.y END y
-    FROM turned t JOIN area0 USING (h) LEFT JOIN (SELECT h, i, x, y, max(i) OVER (PARTITION BY h) z FROM p0) p ON p.h = t.h AND p.i = CASE WHEN j = 0 THEN 0 ELSE z END WHERE p.i = 0 OR p.i = z)
-    QUALIFY row_number() OVER (PARTITION BY h, j ORDER BY 1) = 1""")
-_add("gauss_", "SELECT h, i, x, y FROM gauss UNION ALL SELECT h, CAST(n AS INTEGER), x, y FROM gauss JOIN size_ USING (h) WHERE gauss.closed AND i = 0")
+_add("ends_", """SELECT t.h, j, n, t.closed, a0, a1, mx, my, CASE WHEN NOT t.closed AND j IN (0, n - 1) THEN p.x ELSE t.x END x, CASE WHEN NOT t.closed AND j IN (0, n - 1) THEN p.y ELSE t.y END y
+    FROM turned t JOIN area0 USING (h) LEFT JOIN (SELECT h, i, x, y, max(i) OVER (PARTITION BY h) z FROM p0) p ON p.h = t.h AND p.i = CASE WHEN j = 0 THEN 0 ELSE z END WHERE p.i = 0 OR p.i = z
+    QUALIFY row_number() OVER (PARTITION BY t.h, j ORDER BY 1) = 1""")
+_add("gauss", "SELECT h, CAST(j AS INTEGER) i, n, CASE WHEN closed AND a0 * a1 > 0 THEN (x - mx) * sqrt(a0 / a1) + mx ELSE x END x, CASE WHEN closed AND a0 * a1 > 0 THEN (y - my) * sqrt(a0 / a1) + my ELSE y END y, closed FROM ends_")
+_add("gauss_", "SELECT h, i, x, y, closed FROM gauss UNION ALL SELECT h, CAST(n AS INTEGER), x, y, closed FROM gauss WHERE closed AND i = 0")
+_GAUSS = ["along", "size_", "at_", "even", "bell", "mean_", "turned", "area0", "ends_"]
 
 
 def _sql(names: str, select: str, over: dict[str, str] | None = None) -> str:
@@ -376,13 +373,16 @@ def _points(more: list[str], table: str, factor: str) -> str:
         UNION ALL SELECT lpoly, rpoly, sx, sy, 2, i, {whole('10.0 * x')}, {whole('10.0 * y')} FROM arc JOIN known USING (h) WHERE h NOT IN (SELECT h FROM p0)""")
 
 
+def _counts(more: list[str], table: str) -> str:
+    return _sql(f"{_A} {' '.join(more)}", f"SELECT lpoly, rpoly, sx, sy, known.closed, CAST(CASE WHEN m IS NULL THEN 2 ELSE 1 END AS INTEGER) state, CAST(n AS INTEGER) n_before, CAST(coalesce(m, n) AS INTEGER) n_after FROM known LEFT JOIN (SELECT h, count(*) m FROM {table} GROUP BY h) USING (h)")
+
+
 _EIGHT = {"touch": "SELECT DISTINCT a.run u, b.run v FROM runs a JOIN runs b ON a.px BETWEEN b.px - 1 AND b.px + 1 AND a.py = b.py + 1 AND a.cls = b.cls"}
 _NO3 = {"ras": f"SELECT * FROM ({base._CTE['ras']}) WHERE cls <> 3"}
 _TRI = "tri AS MATERIALIZED (SELECT c_custkey poly_id, seq, (c_custkey * (17 + seq) + 5 * seq) % 211 x, (c_custkey * (31 + 4 * seq) + 60 * seq) % 211 y FROM customer, (VALUES (0), (1), (2)) s(seq)), te AS MATERIALIZED (SELECT a.poly_id, a.seq, a.x x0, a.y y0, b.x x1, b.y y1, b.x - a.x dx, b.y - a.y dy FROM tri a JOIN tri b ON b.poly_id = a.poly_id AND b.seq = (a.seq + 1) % 3)"
 _NEAR = "SELECT poly_id, 0 ring, CAST(seq AS INTEGER) seq, x, y FROM te, (SELECT DISTINCT x, y FROM tri) v WHERE (x - x0) * dx + (y - y0) * dy > 0 AND (x - x0) * dx + (y - y0) * dy < dx * dx + dy * dy AND (dx * (y - y0) - dy * (x - x0)) ** 2 <= {} * (dx * dx + dy * dy)"
 _TURNS = "SELECT t.*, lead(dx, 1, f) OVER q nx, lead(dy, 1, g) OVER q ny FROM (SELECT *, first_value(dx) OVER w f, first_value(dy) OVER w g FROM te WINDOW w AS (PARTITION BY poly_id ORDER BY seq)) t WINDOW q AS (PARTITION BY poly_id ORDER BY seq)"
 _PER = "SELECT cls, count(*) FILTER (t = cls AND o = cls) b, count(*) FILTER (t = cls) n_in, count(*) FILTER (o = cls) n_out FROM (SELECT a.cls t, b.cls o, unnest(list_distinct([a.cls, b.cls])) cls FROM ras a JOIN sie b USING (px, py)) GROUP BY cls"
-_NEXT = "lag(x) OVER q IS NULL"
 
 
 def _m(x: str, shift: float = 0.123) -> str:
@@ -438,11 +438,13 @@ ORACLE_SQL: dict[str, str] = {
     "f14_shape_slanted": f"WITH {_TRI}, b AS (SELECT least(floor(((degrees(atan2(dy, dx)) % 180) + 180) % 180 / 5), 35) bin, sum(sqrt(dx * dx + dy * dy)) l FROM te GROUP BY 1) SELECT (SELECT count(*) FROM te) n_edges, (SELECT count(*) FROM te WHERE dx = 0 OR dy = 0) n_axis, (SELECT count(*) FROM ({_TURNS}) WHERE degrees(atan2(abs(dx * ny - dy * nx), dx * nx + dy * ny)) >= 59.999999) n_sharp, (SELECT {_m('-sum(l / s * ln(l / s)) / ln(36)')} FROM b, (SELECT sum(l) s FROM b) WHERE l > 0) entropy",
     "f15_boundary_both": _sql(_S, f"SELECT {_m('mean', 0)} mean, {_m('p95', 0)} p95, {_m('hausdorff', 0)} hausdorff, {_m('p', 0)} \"precision\", {_m('r', 0)} recall, {_m('2 * p * r / (p + r)', 0)} f1 FROM (SELECT avg(d) mean, quantile_cont(d, 0.95) p95, max(d) hausdorff, avg(CASE WHEN d <= 2 THEN 1.0 ELSE 0.0 END) FILTER (side = 0) p, avg(CASE WHEN d <= 2 THEN 1.0 ELSE 0.0 END) FILTER (side = 1) r FROM (SELECT d, 0 side FROM ({_OTHER_WAY}) UNION ALL SELECT d, 1 FROM ({_ONE_WAY})))"),
     "f17_differences": _sql(_S, f"SELECT count(*) n, {_m('avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END)')} identical, {_m('quantile_cont(d, 0.5)')} median, {_m('quantile_cont(d, 0.95)')} p95, {_m('max(d)')} greatest FROM ({_ONE_WAY})"),
+    "k3_douglas_peucker": _counts(["len0", *_DP], "dp"), "k5_bspline": _counts(["ten", "half", *_PRE, *_CUTS, *_POST4], "post4"),
+    "k6_bezier": _counts(["ten", "half", *_PRE, *_CUTS, *_POST3], "post3"),
     "k3_points": _points(["len0", *_DP], "dp", "CAST({} AS BIGINT)"),
     "k4_points": _points(_PLAIN, "q2", "CAST(({}) * 16 AS BIGINT)"),
     "k5_points": _points(["ten", "half", *_PRE, *_CUTS, *_POST4], "post4", "CAST(({}) * 256 AS BIGINT)"),
     "k6_points": _points(["ten", "half", *_PRE, *_CUTS, *_POST3], "post3", "CAST(({}) * 64 AS BIGINT)"),
-    "k7_points": _points(["along", "size_", "at_", "even", "bell", "mean_", "turned", "area0", "gauss", "gauss_"], "gauss_", _m("{}")),
+    "k7_points": _points([*_GAUSS, "gauss", "gauss_"], "gauss_", _m("{}")),
     "smooth_polygonization_areas": _sql(_D, f"SELECT poly_id, class_value, CAST(1 AS INTEGER) status, area512 FROM ({_AREA512}) JOIN ({_CLS}) USING (poly_id)", _DONE),
     "smooth_polygonization_arcs": _sql(_D, "SELECT lpoly lpoly_id, rpoly rpoly_id, CAST(CASE WHEN any_value(f.fixed) OR h NOT IN (SELECT h FROM p0) THEN 0 ELSE 1 END AS INTEGER) smoothed, CAST(count(*) AS INTEGER) n_points FROM done JOIN known USING (h) JOIN fixed f USING (h) GROUP BY h, lpoly, rpoly", _DONE),
     "smooth_polygonization_coverage": _sql(base._NEEDS["reg"], _WHOLE), "smooth_polygons_coverage": _sql(base._NEEDS["reg"], _WHOLE),

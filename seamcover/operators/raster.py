@@ -234,13 +234,36 @@ def nearest_distance(borders: DataFrame, others: DataFrame) -> DataFrame:
     gaps = column.select("px", "py", "at", F.least(F.col("py") - above, below - F.col("py")).cast("long").alias("gap")).where("at IS NULL").drop("at")
 
     def run(known, wanted):
-        x, g = known["px"].to_numpy("int64"), known["gap"].to_numpy("int64") ** 2
-        found = [math.sqrt(int(((x - q) ** 2 + g).min())) if len(x) else None for q in wanted["px"].tolist()]
-        return wanted.assign(distance=np.array(found, float))[["px", "py", "distance"]]
+        known, wanted = known.sort_values("px"), wanted.sort_values("px")
+        found = row_minima(known["px"].to_numpy("int64"), known["gap"].to_numpy("int64") ** 2, wanted["px"].to_numpy("int64"))
+        return wanted.assign(distance=np.sqrt(found) if len(known) else np.nan)[["px", "py", "distance"]].replace({np.nan: None})
 
     return gaps.groupBy("py").cogroup(borders.select("px", "py").groupBy("py")).applyInPandas(run, "px int, py int, distance double")
 
 
+def row_minima(x: np.ndarray, g: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each q the least (x - q)**2 + g; x and q ascend.
+
+    The x of the least moves right with q, so halving the queries halves the x to look at: a round of all open spans
+    looks at each x once or twice.
+    """
+    best = np.zeros(len(q), np.int64)
+    low, high = np.zeros(1, np.int64), np.full(1, len(q) - 1)
+    a, b = np.zeros(1, np.int64), np.full(1, len(x) - 1)
+    while len(x) and (low <= high).any():
+        low, high, a, b = (v[low <= high] for v in (low, high, a, b))
+        middle, size = (low + high) // 2, b - a + 1
+        starts = np.cumsum(size) - size
+        span = np.repeat(np.arange(len(middle)), size)
+        at = np.arange(len(span)) + (a - starts)[span]
+        far = (x[at] - q[middle][span]) ** 2 + g[at]
+        best[middle] = np.minimum.reduceat(far, starts)
+        hit = np.flatnonzero(far == best[middle][span])
+        k = at[hit[np.searchsorted(span[hit], np.arange(len(middle)))]]
+        low, high, a, b = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high]), np.concatenate([a, k]), np.concatenate([k, b])
+    return best
+
+
 def frame(n: int) -> tuple[int, int]:
     """Width and height of the smallest square-like frame of n pixels."""
     width = max(1, math.isqrt(n - 1) + 1) if n else 1

@@ -268,6 +268,14 @@ def test_tune_tables(spark, tmp_path):
     assert {round(r.gain, 9) for r in gains.collect()} == {0.5, 0.1, 0.0}
 
 
+def test_row_minima_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 5), (7, 1), (200, 150), (50, 400)):
+        x, q = np.sort(rng.choice(1000, n, False)), np.sort(rng.integers(0, 1000, m))
+        g = rng.integers(0, 300, n) ** 2
+        assert (raster.row_minima(x, g, q) == ((x[None] - q[:, None]) ** 2 + g).min(1)).all()
+
+
 def test_broken_coverages(spark):
     found = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0), (0, 2e-4, 0.0), (0, 0.0, 2e-4), (0, 1e-5, 1e-5)], "n_invalid int, overlap double, gap double")
     assert [r.broken for r in metrics.broken(found, 100.0).collect()] == [False, True, True, True, False]
