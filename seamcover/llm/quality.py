@@ -7,8 +7,9 @@ arithmetic on the ledger and never reads the texts again.
 Words are ``[^\\x20\\x09-\\x0D]+``, case kept. A line counts if it has a word; it is a duplicate if it equals an earlier
 line of the text. A word is repeated if it lies in a window of three words that the text holds twice or more.
 
-Edge cases: a null text has no words and every count 0 (so it fails ``few_words``). Repeated rows are judged alike. An
-empty table gives no rows. An unknown policy raises KeyError.
+Edge cases: a null text has no words and every count 0 (so it fails ``few_words``). Repeated rows are judged alike, very
+long texts whole. Kept columns of the measurements' names are replaced. An empty table gives no rows. An unknown policy
+raises KeyError.
 """
 
 from __future__ import annotations

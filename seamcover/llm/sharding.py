@@ -9,8 +9,10 @@ Slots number each shard's records from 0 without gaps. Equal records are counted
 of any frequency is one row; each shard is cut into ranges of the key's hash, the ranges' counts give their first
 slots, and only a range is ever numbered by one task.
 
-Edge cases: a null key is hashed as the text ``null`` and so has one shard. Repeated rows have the same shard and slots
-of their own. A null text has size 16 and checksum 0. An empty table gives no rows.
+Edge cases: a null key is hashed as the text ``null`` and so has one shard. Of equal bids the shard of the smaller number
+wins. Repeated rows have the same shard and slots of their own. A null text has size 16 and checksum 0; texts of any
+length are read by their bytes' count and checksum alone. Columns named like the results are replaced. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
