@@ -8,6 +8,7 @@ Regions are numbered by their smallest pixel; polygon ids are that plus 1, and 0
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -57,27 +58,28 @@ def box_blur(raster: DataFrame, half: int, passes: int = 3, value: str = "v") ->
 def quantile_thresholds(df: DataFrame, value: str, parts: int, bins: int = 4096) -> list[int]:
     """For k = 1 .. parts - 1 the integer value of rank ceil(k * n / parts), exactly.
 
-    Each round counts the values that lie in the bins still open, so the driver gets ``bins`` rows a threshold at most
-    and no sort of the table is needed; the number of rounds is log(range) / log(bins).
+    Each round counts the values that lie in the spans still open, of all thresholds in one job, so the driver gets
+    ``bins`` rows a threshold at most and no sort of the table is needed; there are log(range) / log(bins) rounds.
     """
     n, low, high = df.agg(F.count(value), F.min(value), F.max(value)).first()
     if not n:
         return []
-    counted: dict[tuple[int, int], list] = {}
-    out = []
-    for k in range(1, parts):
-        rank, a, b, below = -(-k * n // parts), low, high, 0
-        while a < b:
-            width = -(-(b - a + 1) // bins)
-            if (a, b) not in counted:  # the first round is the same for all thresholds
-                counted[a, b] = df.where(F.col(value).between(a, b)).groupBy(F.floor((F.col(value) - a) / width).alias("bin")).count().orderBy("bin").collect()
-            for r in counted[a, b]:
-                if below + r["count"] >= rank:
-                    a, b = a + r["bin"] * width, min(b, a + (r["bin"] + 1) * width - 1)
-                    break
-                below += r["count"]
-        out.append(a)
-    return out
+    spans = [[low, high, -(-k * n // parts)] for k in range(1, parts)]  # first and last value, rank in the span
+    while open_ := sorted({(a, b) for a, b, _ in spans if a < b}):
+        width = {s: -(-(s[1] - s[0] + 1) // bins) for s in open_}
+        cell = reduce(lambda c, s: c.when(F.col(value).between(*s), F.struct(F.lit(s[0]).alias("a"), F.floor((F.col(value) - s[0]) / width[s]).alias("bin"))), open_, F)
+        counted: dict[int, list] = {}
+        for r in df.select(cell.alias("c")).where("c IS NOT NULL").groupBy("c.a", "c.bin").count().orderBy("a", "bin").collect():
+            counted.setdefault(r["a"], []).append((r["bin"], r["count"]))
+        for s in spans:
+            if s[0] < s[1]:
+                a, b, w = s[0], s[1], width[s[0], s[1]]
+                for k, count in counted[a]:
+                    if count >= s[2]:
+                        s[:2] = a + k * w, min(b, a + (k + 1) * w - 1)
+                        break
+                    s[2] -= count
+    return [a for a, _, _ in spans]
 
 
 def quantile_classes(df: DataFrame, parts: int, value: str = "v", name: str = "cls") -> DataFrame:

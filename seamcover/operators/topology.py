@@ -194,20 +194,27 @@ def chain_arcs(border: DataFrame, tile: int = TILE) -> DataFrame:
     no border is held by one task, only a single arc.
     """
     kind = f"lpoly long, rpoly long, fixed boolean, closed boolean, pts {POINTS}"
-    cell = lambda c: F.floor(F.least(f"{c}0", f"{c}1") / F.lit(tile))
-    own = border.select("lpoly", "rpoly", "fixed", "x0", "y0", "x1", "y1", cell("x").alias("tx"), cell("y").alias("ty"))
+    # squares have sides at x = -1 and y = 1, so that a raster's left and upper edges lie within one
+    cell = lambda c, origin: F.floor((F.least(f"{c}0", f"{c}1") - origin) / F.lit(tile))
+    own = border.select("lpoly", "rpoly", "fixed", "x0", "y0", "x1", "y1", cell("x", -1).alias("tx"), cell("y", 1).alias("ty"))
 
     def chained(t: pa.Table) -> pa.Table:
         left, right, fixed = (t.column(c).to_numpy().astype(np.int64) for c in ("lpoly", "rpoly", "fixed"))
         e = np.column_stack([t.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
         label = 2 * _numbered(left, right) + fixed
-        lines, first, closed = _chains(e, label, ((e[:, 2:] % tile) == 0).any(1))
+        lines, first, closed = _chains(e, label, ((e[:, 2] + 1) % tile == 0) | ((e[:, 3] - 1) % tile == 0))
         columns = [pa.array(left[first]), pa.array(right[first]), pa.array(fixed[first] > 0), pa.array(closed), straight(lines, closed).to_arrow()]
-        return pa.Table.from_arrays(columns, names=["lpoly", "rpoly", "fixed", "closed", "pts"])
-
-    pieces = cut_lineage(own.groupBy("tx", "ty").applyInArrow(chained, kind)).withColumn("piece", F.monotonically_increasing_id())
+        square = [pa.array(np.full(len(first), t.column(c)[0].as_py())) for c in ("tx", "ty")]
+        return pa.Table.from_arrays([*columns, *square], names=["lpoly", "rpoly", "fixed", "closed", "pts", "tx", "ty"])
+
+    pieces = cut_lineage(own.groupBy("tx", "ty").applyInArrow(chained, f"{kind}, tx long, ty long"))
+    squares = pieces.select("tx", "ty").distinct().limit(2).count()
+    pieces = pieces.drop("tx", "ty")
+    if squares < 2:
+        return pieces
+    pieces = pieces.withColumn("piece", F.monotonically_increasing_id())
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
-    at_side = lambda p: (F.pmod(p.x, F.lit(float(tile))) == 0) | (F.pmod(p.y, F.lit(float(tile))) == 0)
+    at_side = lambda p: (F.pmod(p.x + 1, F.lit(float(tile))) == 0) | (F.pmod(p.y - 1, F.lit(float(tile))) == 0)
     step = lambda p, q: F.struct(F.signum(q.x - p.x).alias("x"), F.signum(q.y - p.y).alias("y"))
     label = ["lpoly", "rpoly", "fixed"]
     ends = pieces.where(~F.col("closed") & at_side(last)).select("piece", *label, last.alias("p"), step(F.element_at("pts", -2), last).alias("d"))
