@@ -8,13 +8,14 @@ Regions are numbered by their smallest pixel; polygon ids are that plus 1, and 0
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamcover.functions.graph import connected_components, cut_lineage
+from seamcover.functions.graph import SMALL_GRAPH, connected_components, cut_lineage
 
 def along_row():
     return Window.partitionBy("py").orderBy("px")
@@ -148,22 +149,34 @@ def sieve(raster: DataFrame, width: int, threshold: int, eight: bool = False) ->
     other = sizes.select(F.col("region").alias("other"), F.col("n").alias("m"), F.col("cls").alias("to"))
     best = near.join(small, "region").join(other, "other").groupBy("region").agg(F.max(F.struct("m", (-F.col("other")).alias("o"), "to")).alias("b"))
     chain = cut_lineage(best.select("region", (-F.col("b.o")).alias("next"), F.col("b.m").alias("m"), F.col("b.to").alias("to")))
-    # every step goes to a region that is at least as large or is already chosen for; doubling follows the chain
-    for _ in range(64):
-        follow = chain.where(F.col("m") < threshold)
-        if follow.isEmpty():
-            break
+    if chain.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+        final = chain.coalesce(1).mapInArrow(partial(_followed, threshold), f"region long, to {chain.schema['to'].dataType.simpleString()}")
+        return labelled.join(final, "region", "left").select("px", "py", F.coalesce("to", "cls").alias("cls"))
+    # Doubling: a round that brings no further choice to a large region is the last, as those that are left go round.
+    before, left = None, chain.where(F.col("m") < threshold).count()
+    while left and left != before:
         ahead = chain.select(F.col("region").alias("next"), F.col("next").alias("n2"), F.col("m").alias("m2"), F.col("to").alias("to2"))
         stepped = chain.join(ahead, "next", "left")
-        go = (F.col("m") < threshold) & F.col("n2").isNotNull() & (F.col("n2") != F.col("region"))
-        moved = cut_lineage(stepped.select("region", F.when(go, F.col("n2")).otherwise(F.col("next")).alias("next"), F.when(go, F.col("m2")).otherwise(F.col("m")).alias("m"), F.when(go, F.col("to2")).otherwise(F.col("to")).alias("to")))
-        if moved.exceptAll(chain).isEmpty():
-            break
-        chain = moved
+        go = (F.col("m") < threshold) & F.col("n2").isNotNull()
+        chain = cut_lineage(stepped.select("region", F.when(go, F.col("n2")).otherwise(F.col("next")).alias("next"), F.when(go, F.col("m2")).otherwise(F.col("m")).alias("m"), F.when(go, F.col("to2")).otherwise(F.col("to")).alias("to")))
+        before, left = left, chain.where(F.col("m") < threshold).count()
     final = chain.where(F.col("m") >= threshold).select("region", "to")
     return labelled.join(final, "region", "left").select("px", "py", F.coalesce("to", "cls").alias("cls"))
 
 
+def _followed(threshold: int, batches):
+    """(region, to) of the small regions, at most SMALL_GRAPH, whose chain of choices ends at a large one."""
+    for batch in [pa.Table.from_batches(x) for x in [list(batches)] if x]:
+        region, after, m = (batch.column(c).to_numpy() for c in ("region", "next", "m"))
+        order = np.argsort(region)
+        at = np.where(m >= threshold, np.arange(len(region)), order[np.minimum(np.searchsorted(region[order], after), max(len(region) - 1, 0))])
+        for _ in range(max(1, len(region).bit_length())):
+            at = at[at]
+        done = np.flatnonzero(m[at] >= threshold)
+        to = batch.column("to").combine_chunks().take(pa.array(at[done]))
+        yield pa.RecordBatch.from_arrays([pa.array(region[done]), to if isinstance(to, pa.Array) else to.combine_chunks()], names=["region", "to"])
+
+
 def block_mode(raster: DataFrame, k: int, background: int | None = None) -> DataFrame:
     """Majority class of k x k blocks, the smallest class on ties; with ``background`` a block is of another class only
     if more than half of its k * k pixels are."""

@@ -178,6 +178,13 @@ def grid(spark, rows):
     return spark.createDataFrame([(x, y, c) for y, row in enumerate(rows) for x, c in enumerate(row) if c], "px int, py int, cls int")
 
 
+def test_sieve_both_ways(spark, monkeypatch):
+    pixels = grid(spark, noise(9, 16, 4))
+    one = {(r.px, r.py): r.cls for r in raster.sieve(pixels, 16, 6).collect()}
+    monkeypatch.setattr(raster, "SMALL_GRAPH", 0)
+    assert {(r.px, r.py): r.cls for r in raster.sieve(pixels, 16, 6).collect()} == one and len(set(one.values())) > 1
+
+
 def test_arcs_do_not_depend_on_the_squares(spark):
     borders = coverage.raster_borders(raster.regions(grid(spark, noise(5, 24)), 24))
     rows = lambda tile: sorted((r.lpoly, r.rpoly, r.closed, tuple((q.x, q.y) for q in r.pts)) for r in topology.chain_arcs(borders, tile).collect())
