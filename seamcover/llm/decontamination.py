@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from seamcover.llm.common import add_columns, alnum_words, checkpointed, code_points, emit, free_prefix, quoted, read_table, shared, slices
 
 WINDOW = 10
-#: Bytes of benchmark words in one automaton, about; it takes some 50 times as much in each Python worker.
+#: Bytes of benchmark words in one automaton, about; it takes some 45 times as much in each Python worker, 190 MB, and
+#: 350 MB while it is built.
 BLOCK_BYTES = 1 << 22
 #: Words of an item in one piece, and the next WINDOW - 1.
 CHUNK = 20_000
@@ -117,23 +118,29 @@ class Matcher:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        rows, names = [np.zeros((0, size), np.int64)], []
+        rows, owner = [np.zeros((0, size), np.int64)], [np.zeros(0, np.int64)]
+        self.names = sorted({name for name, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
         for name, words in items:
             numbers = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)
             if len(numbers):
                 short = np.pad(numbers, (0, max(0, size - len(numbers))))
                 rows.append(np.lib.stride_tricks.sliding_window_view(short, size))
-                names += [name] * len(rows[-1])
+                owner.append(np.full(len(rows[-1]), place[name]))
         self.automaton = Automaton(np.concatenate(rows))
-        self.owners: dict[int, set[str]] = defaultdict(set)
-        for state, name in zip(self.automaton.ends.tolist(), names, strict=True):
-            self.owners[state].add(name)
+        pairs = np.unique(self.automaton.ends * max(1, len(self.names)) + np.concatenate(owner))
+        self.states, self.items = pairs // max(1, len(self.names)), pairs % max(1, len(self.names))
+
+    def owners(self, state: int) -> list[str]:
+        """Items with the window that ends in a state."""
+        a, b = np.searchsorted(self.states, [state, state + 1])
+        return [self.names[k] for k in self.items[a:b].tolist()]
 
     def hits(self, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
         """For each text's words: runs of hit words as [first, past the last], in order, and the items whose windows
         occur."""
         out: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in texts]
-        if not self.owners:
+        if not len(self.states):
             return out
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.cumsum(sizes + 1) - sizes - 1
@@ -142,6 +149,7 @@ class Matcher:
             line[a : a + n] = np.fromiter(map(get, words, repeat(0)), np.int64, n)
         places, states = self.automaton.scan(line)
         text = np.searchsorted(starts, places, side="right") - 1
+        met: dict[int, set[int]] = defaultdict(set)
         ends = places - starts[text] + 1
         for i, state, end in zip(text.tolist(), states.tolist(), ends.tolist(), strict=True):
             runs, found = out[i]
@@ -152,8 +160,9 @@ class Matcher:
                 runs[-1] = [min(first, runs[-1][0]), end]
             else:
                 runs.append([first, end])
-            while state:
-                found |= self.owners[state]
+            while state and state not in met[i]:  # its items are known, and those of the shorter ones
+                met[i].add(state)
+                found.update(self.owners(state))
                 state = int(self.automaton.shorter[state])
         return out
 
