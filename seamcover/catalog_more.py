@@ -419,7 +419,7 @@ ORACLE_SQL: dict[str, str] = {
     "b4_nodata_regions": _sql(base._NEEDS["reg"], "SELECT px, py, cls, region FROM reg", _NO3),
     "c4_wkb_round_trip": _sql(base._NEEDS["ver"], "SELECT poly_id, ring, seq, x, y FROM ver"),
     "c30_json_ids": _sql(base._NEEDS["reg"], "SELECT DISTINCT cls, region FROM reg"),
-    "c33_fingerprint": _sql(base._NEEDS["ver"], "SELECT poly_id, 1000000 * (b - a) area, CAST(500000 * (a + b) AS BIGINT) x, CAST(-1000000 * r - 500000 AS BIGINT) y, CAST(4 AS BIGINT) n_points FROM rect"),
+    "c33_fingerprint": _sql(base._NEEDS["ver"], "SELECT poly_id, CAST(1000000 * (b - a) AS BIGINT) area, CAST(500000 * (a + b) AS BIGINT) x, CAST(-1000000 * r - 500000 AS BIGINT) y, CAST(4 AS BIGINT) n_points FROM rect"),
     "d2_in_box": _sql(_R, "SELECT poly_id, min_x, min_y, max_x, max_y FROM (SELECT poly_id, min(x0) min_x, min(y0) min_y, max(x0) max_x, max(y0) max_y FROM redge GROUP BY poly_id), (SELECT w // 3 a, CAST(ceil(n * 1.0 / w) AS BIGINT) // 3 b FROM size) WHERE max_x >= a AND min_x <= 2 * a AND max_y >= -2 * b AND min_y <= -b"),
     "d14_interior_segments": _sql(f"{base._NEEDS['ver']} raw", "SELECT n, count(*) n_segments FROM (SELECT count(*) n FROM raw, (SELECT w, CAST(ceil(n * 1.0 / w) AS BIGINT) t FROM size) WHERE least(x0, x1) > 1 AND greatest(x0, x1) < w - 1 AND least(y0, y1) > 1 - t AND greatest(y0, y1) < -1 GROUP BY least(x0, x1), greatest(x0, x1), least(y0, y1), greatest(y0, y1)) GROUP BY n"),
     "d15_broken": _sql(base._NEEDS["ver"], "SELECT count(*) overlap, CAST(0 AS BIGINT) gap, count(*) > 1e-6 * any_value(w * CAST(ceil(n * 1.0 / w) AS BIGINT)) broken FROM rect, size WHERE b < w AND (b, r) IN (SELECT (px, py) FROM ras)"),
